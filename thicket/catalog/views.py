@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from thicket import vocab as V
 from thicket.schemas import TRIPLE_COLS
+from thicket.session import shared_folder
+from thicket.sources.tables import read_triples, write_triples
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -161,7 +163,7 @@ def _spec_rows(df: DataFrame, spec: list[Spec]) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*structs))).alias("t")).select("t.*")
 
 
-def kg_triples(spark: SparkSession, d: str) -> DataFrame:
+def kg_rows(spark: SparkSession, d: str) -> DataFrame:
     segments = load(spark, d, "customer").select(F.col("c_mktsegment").alias("seg")).distinct()
     rows = (
         _spec_rows(customers(spark, d), _CONCEPT_SPEC)
@@ -186,6 +188,19 @@ def kg_triples(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*TRIPLE_COLS).unionByName(described.select(*TRIPLE_COLS))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def kg_triples(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as a stored table split by predicate, written on first use."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/graph-{len(_STORED)}.parquet"
+        write_triples(kg_rows(spark, d), path)
+        _STORED[key] = path
+    return read_triples(spark, _STORED[key])
+
+
 # -- reference countries ----------------------------------------------------
 
 COUNTRY_EXPRS = {

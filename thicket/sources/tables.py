@@ -187,10 +187,14 @@ def triple_lines(triples: DataFrame) -> DataFrame:
 
 
 def write_triples(triples: DataFrame, path: str) -> None:
-    """Text lines, or Parquet split by predicate so that readers prune on it."""
+    """Text lines, or Parquet split by predicate so that readers prune on it.
+
+    Rebalancing gives each predicate files of a sensible size: small ones are
+    merged and large ones spread over several tasks.
+    """
     if path.rstrip("/").endswith((".parquet", ".pq")):
-        triples.withColumn("predicate", X.edge_type("p")).repartition("predicate", F.pmod(
-            F.xxhash64("s"), F.lit(64))).write.mode("overwrite").partitionBy("predicate").parquet(path)
+        rows = triples.select(*M.TRIPLE_COLS).hint("rebalance", "p")
+        rows.write.mode("overwrite").partitionBy("p").parquet(path)
     else:
         triple_lines(triples).write.mode("overwrite").text(path)
 
