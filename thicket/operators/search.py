@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from thicket import vocab as V
 from thicket.functions import questions as Q
 from thicket.functions import text as X
-from thicket.operators.containment import keyword_hits
+from thicket.operators.containment import found_needles
 from thicket.operators.ordering import dedupe_best, first_n, top_k
 from thicket.session import small_side
 
@@ -109,6 +109,11 @@ def keyword_rows(questions: DataFrame) -> DataFrame:
 MAX_VARIANTS = 1000
 
 
+def row_id() -> Column:
+    """Names one label and definition row of a concept."""
+    return F.substring(F.md5(F.concat_ws("\u001f", "label", "definition")), 1, 16)
+
+
 def _partition_keys(concepts: DataFrame) -> list[str]:
     """Keep a concept's rows together unless one has more rows than a task should hold."""
     most = concepts.groupBy("uri").count().agg(F.max("count")).first()[0] or 0
@@ -127,7 +132,7 @@ def keyword_scores(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     asked = small_side(keyword_rows(questions))
     docs = concepts.select(
         "uri",
-        F.xxhash64("uri", "label", "definition").alias("rid"),
+        row_id().alias("rid"),
         *FILTER_COLUMNS,
         F.concat_ws(" ", "label", "definition").alias("text"),
     )
@@ -181,7 +186,7 @@ def keyword_search(questions: DataFrame, concepts: DataFrame, k: int = 10) -> Da
     hits = small_side(top_k(best, k))
     fields = concepts.select(
         "uri",
-        F.xxhash64("uri", "label", "definition").alias("rid"),
+        row_id().alias("rid"),
         *[c for c in CONCEPT_FIELDS if c in concepts.columns],
     )
     return dedupe_best(fields.join(hits, ["uri", "rid"]), ["qid", "uri"], ["rid"]).drop("rid")
