@@ -48,10 +48,12 @@ def text_or_empty(col: ColumnOrName) -> Column:
 
 
 def remove_first(text: Column, part: Column) -> Column:
-    """Drop the first occurrence of ``part``; blank or absent parts change nothing."""
-    at = F.instr(text, part)
-    cut = F.concat(F.substring(text, F.lit(1), at - 1), F.substr(text, at + F.length(part)))
-    return F.when((F.length(part) > 0) & (at > 0), cut).otherwise(text)
+    """Drop the first occurrence of ``part``; a blank or absent part changes nothing.
+
+    Splitting once keeps ``text`` in the expression once, so nested removals stay small.
+    """
+    quoted = F.concat(F.lit(r"\Q"), F.replace(part, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.array_join(F.split(text, quoted, 2), "")
 
 
 def remove_all(text: Column, parts: Column) -> Column:

@@ -51,14 +51,17 @@ def note_countries(notes: DataFrame, countries: DataFrame, strict: bool = True)
 
 def attribute_notes(
     df: DataFrame, countries: DataFrame, note: str = "source", scope: str = "scope",
-    strict: bool = True,
+    strict: bool = True, notes: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``country`` and ``organization`` read from the source note.
 
     International and general scopes name no country; state and federal notes of
-    the United States keep their place in the organisation.
+    the United States keep their place in the organisation. ``notes(note)`` can
+    name the notes where they are cheaper to read than from ``df``.
     """
-    found = note_countries(df.select(F.col(note).alias("note")), countries, strict)
+    if notes is None:
+        notes = df.select(F.col(note).alias("note"))
+    found = note_countries(notes, countries, strict)
     found = found.withColumnRenamed("note", note)
     usa = F.lower(F.trim(note)).rlike("^usa-(state|fed)")
     no_country = F.coalesce(F.col(scope), F.lit("")).isin("International", "General")

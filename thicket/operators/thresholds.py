@@ -238,6 +238,7 @@ HIT_COLUMNS = [
     "qid", "uri", "text", "label", "definition", "country", "year", "scope", "org", "sources",
     "vec_rank", "kw_rank", "vector_score", "kw_score", "rrf_score", "graph_context",
 ]
+LIST_COLUMNS = HIT_COLUMNS[:-1]
 
 
 def insert_after_first(hits: DataFrame, extra: DataFrame) -> DataFrame:
@@ -248,12 +249,12 @@ def insert_after_first(hits: DataFrame, extra: DataFrame) -> DataFrame:
     question.
     """
     natural = hits.select(
-        *HIT_COLUMNS,
+        *LIST_COLUMNS,
         F.when(F.col("rank") == 1, 0).otherwise(2).alias("slot"),
         F.col("rank").cast("long").alias("place"),
         F.lit(0).alias("sub"),
     )
-    added = extra.select(*HIT_COLUMNS, F.lit(1).alias("slot"), "place", "sub")
+    added = extra.select(*LIST_COLUMNS, F.lit(1).alias("slot"), "place", "sub")
     both = natural.unionByName(added)
     return numbered(both, ["qid"], ["slot", "place", "sub", "uri"], "n").drop("slot", "place", "sub")
 
@@ -305,6 +306,7 @@ def enrich_thresholds(
 
     ``filters`` are the questions with their filters, ``hits`` their ranked
     hits. A country without any concept gets its threshold-table text instead.
+    Every concept of the result, found or added, gets its graph context.
     """
     asked = small_side(enrichment_countries(filters, hits, triples, thresholds))
     names = asked.select("name").distinct()
@@ -317,10 +319,9 @@ def enrich_thresholds(
             F.struct("place", "name"),
         ).alias("b")
     ).select("qid", "uri", "b.*")
-    context = graph_context(fresh.select("uri"), triples)
     empty = F.lit("")
     no_rank = F.lit(None).cast("int")
-    from_graph = fresh.join(context, "uri", "left").select(
+    from_graph = fresh.select(
         "qid", "uri", "text", X.text_or_empty("label").alias("label"), "definition", "country",
         X.text_or_empty("year").alias("year"), F.lit("National").alias("scope"),
         X.text_or_empty("org").alias("org"),
@@ -329,7 +330,6 @@ def enrich_thresholds(
         no_rank.alias("vec_rank"), no_rank.alias("kw_rank"),
         F.lit(0.0).alias("vector_score"), F.col("score").alias("kw_score"),
         F.round(F.lit(0.06) + F.col("score") * 0.01, 6).alias("rrf_score"),
-        F.coalesce("graph_context", empty).alias("graph_context"),
         "place", (-F.col("richness")).alias("sub"),
     )
     bare = asked.join(concepts.select("name").distinct(), "name", "left_anti")
@@ -342,7 +342,12 @@ def enrich_thresholds(
         F.array(F.lit("threshold")).alias("sources"),
         no_rank.alias("vec_rank"), no_rank.alias("kw_rank"),
         F.lit(0.0).alias("vector_score"), F.lit(0.0).alias("kw_score"),
-        F.lit(0.05).alias("rrf_score"), F.col("text").alias("graph_context"),
-        "place", F.lit(0).alias("sub"),
+        F.lit(0.05).alias("rrf_score"), "place", F.lit(0).alias("sub"),
     )
-    return insert_after_first(hits, from_graph.unionByName(from_table))
+    listed = insert_after_first(hits, from_graph.unionByName(from_table))
+    context = graph_context(listed.select("uri"), triples)
+    added = F.array_contains("sources", "threshold") | (F.col("rrf_score") == 0.06)
+    shown = F.when(F.col("uri").startswith("threshold://"), F.col("text")).otherwise(
+        F.coalesce("graph_context", F.when(added, empty))
+    )
+    return listed.join(context, "uri", "left").select(*LIST_COLUMNS, shown.alias("graph_context"), "n")

@@ -48,10 +48,6 @@ def fuse(vec: DataFrame, kw: DataFrame, k: int) -> DataFrame:
     return both.select(*merged.columns, *[pick(n) for n in FIELDS])
 
 
-def with_context(hits: DataFrame, triples: DataFrame) -> DataFrame:
-    return hits.join(T.graph_context(hits.select("uri"), triples), "uri", "left")
-
-
 def hybrid_hits(
     filters: DataFrame, triples: DataFrame, index: DataFrame, k: int = V.TOP_K,
     labels: DataFrame | None = None,
@@ -72,7 +68,7 @@ def hybrid_retrieve(
     extracted (a ``concept`` column).
     """
     filters = questions if "concept" in questions.columns else Q.extract_filters(questions)
-    hits = materialise(with_context(hybrid_hits(filters, triples, index, k, labels), triples))
+    hits = materialise(hybrid_hits(filters, triples, index, k, labels))
     return T.enrich_thresholds(filters, hits, triples, thresholds)
 
 
@@ -123,9 +119,7 @@ def planned_retrieve(
     vec = every.join(vector_calls, "qid")
     merged = S.union_hits(kw.unionByName(vec), every, questions, k)
     hits = merged.drop("call", "rank").withColumnRenamed("n", "rank")
-    return T.enrich_thresholds(
-        filters, materialise(with_context(hits, triples)), triples, thresholds
-    )
+    return T.enrich_thresholds(filters, materialise(hits), triples, thresholds)
 
 
 def retrieve(
