@@ -37,6 +37,7 @@ def main() -> None:
         try:
             first[name] = round(timed(spark, ENTRIES[name].run, sf_dir), 3)
             warm[name] = round(timed(spark, ENTRIES[name].run, sf_dir), 3)
+            print(name, first[name], warm[name], file=sys.stderr, flush=True)
         except Exception as error:  # report and go on: one line has to come out
             failed[name] = str(error).splitlines()[0][:200]
     out = {

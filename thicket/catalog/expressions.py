@@ -116,9 +116,7 @@ def line_definitions(spark, d):
     text = X.definition(
         "text", F.lit(""), F.col("term"), F.col("refs"), F.col("links"), F.col("src")
     )
-    return parts.select("a", "b", "c", "d", text.alias("definition")).filter(
-        ~X.is_junk("definition")
-    )
+    return parts.select("a", "b", "c", "d", F.explode(X.unless_junk(text)).alias("definition"))
 
 
 _BLOCKS_SQL = r"""WITH blocks AS (SELECT page_id, unnest(b) AS block,
@@ -135,7 +133,7 @@ _BLOCKS_SQL = r"""WITH blocks AS (SELECT page_id, unnest(b) AS block,
     regexp_replace(block, '<[^>]*>', '', 'g') AS text FROM blocks""",
 )
 def page_paragraphs(spark, d):
-    return paragraphs_from_html(W.load(spark, d, "pages")).select("doc_id", "pos", "style", "text")
+    return paragraphs_from_html(W.spread(W.load(spark, d, "pages"))).select("doc_id", "pos", "style", "text")
 
 
 @query(
@@ -161,7 +159,7 @@ SELECT '' || page_id AS doc_id, pos, CASE WHEN len(regexp_extract_all(t, '[A-Za-
     AS bold FROM bold""",
 )
 def page_bold_terms(spark, d):
-    return paragraphs_from_html(W.load(spark, d, "pages")).select(
+    return paragraphs_from_html(W.spread(W.load(spark, d, "pages"))).select(
         "doc_id", "pos", X.bold_term("runs").alias("bold")
     )
 
@@ -283,7 +281,7 @@ def country_forms(spark, d):
 def label_forms(spark, d):
     """Accent-free keys and camel-case fragments of label-sized text (200 characters)."""
     label = F.substring("text", 1, 200)
-    return W.load(spark, d, "documents").select(
+    return W.spread(W.load(spark, d, "documents")).select(
         "doc_id", X.norm_country_key(label).alias("key"), X.camel(label).alias("camel")
     )
 
@@ -343,7 +341,7 @@ best AS (SELECT doc_id, truth, text, list_max([{_PROFILE_SQL}]) AS b FROM words)
 SELECT doc_id, truth, CASE WHEN b.score > 0 THEN b.lang ELSE 'en' END AS lang FROM best""",
 )
 def document_languages(spark, d):
-    return W.load(spark, d, "documents").select(
+    return W.spread(W.load(spark, d, "documents")).select(
         "doc_id", F.col("lang").alias("truth"), X.detect_lang("text").alias("lang")
     )
 

@@ -120,7 +120,7 @@ def question_keyword_lists(spark, d):
 def document_filters(spark, d):
     """The question patterns over whole documents."""
     rows = Q.extract_filters(
-        W.load(spark, d, "documents").select("doc_id", F.col("text").alias("query"))
+        W.spread(W.load(spark, d, "documents")).select("doc_id", F.col("text").alias("query"))
     )
     return rows.select(
         "doc_id", Q.is_threshold_question("query").alias("threshold_like"), "concept", "org",

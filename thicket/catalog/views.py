@@ -21,6 +21,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the scan has fewer splits than there are cores.
+
+    A table kept as one small file would otherwise run its expressions in one
+    task; a table of many files is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # -- concepts ---------------------------------------------------------------
 
 CONTINENT = (
@@ -303,9 +313,15 @@ LINES_SQL = "lines AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _LINE.item
 LINE_ORDER = ["a", "b", "c", "d"]
 
 
+_LINE_ITEM = [
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag",
+    "l_linestatus",
+]
+
+
 def def_lines(spark: SparkSession, d: str) -> DataFrame:
     joined = (
-        load(spark, d, "lineitem")
+        spread(load(spark, d, "lineitem").select(*_LINE_ITEM))
         .join(load(spark, d, "orders"), F.expr("l_orderkey = o_orderkey"))
         .join(load(spark, d, "customer"), F.expr("o_custkey = c_custkey"))
         .join(load(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
@@ -329,7 +345,8 @@ PARA_SQL = "para AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b
 
 
 def paragraph_rows(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "lineitem").select(*[F.expr(e).alias(n) for n, e in _PARA.items()])
+    lines = spread(load(spark, d, "lineitem").select(*_LINE_ITEM))
+    return lines.select(*[F.expr(e).alias(n) for n, e in _PARA.items()])
 
 
 # -- documents and questions ------------------------------------------------
@@ -338,7 +355,7 @@ DOCS_SQL = "docs AS (SELECT '' || doc_id AS uri, text AS definition FROM documen
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select(
+    return spread(load(spark, d, "documents")).select(
         F.col("doc_id").cast("string").alias("uri"), F.lit("").alias("label"),
         F.col("text").alias("definition"),
     )

@@ -201,6 +201,15 @@ def is_junk(text: ColumnOrName, single_dash: bool = False) -> Column:
     return (col == "") | col.rlike(rf"^({dash}|\d+(\.\d+)*|\(\s*\))$")
 
 
+def unless_junk(text: Column) -> Column:
+    """The text in an array, or an empty array for junk.
+
+    Exploding it drops junk rows while the text is computed once; a filter would
+    be pushed below the projection and compute it again.
+    """
+    return F.filter(F.array(text), lambda t: ~is_junk(t))
+
+
 def clean_terms(terms: ColumnOrName) -> Column:
     return strip(squeeze(F.regexp_replace(_c(terms), r"[^A-Za-zÀ-ÖØ-öø-ÿ\s\-;]", " ")))
 
@@ -549,24 +558,36 @@ LANGUAGE_WORDS = {
 
 
 def language_scores(text: ColumnOrName, profiles: dict[str, str] | None = None) -> Column:
-    """array<struct<score, rank, lang>> of how many function words of a language occur."""
+    """array<struct<score, rank, lang>> of how many function words of a language occur.
+
+    The text is cut into words once and every word adds to all counts.
+    """
     profiles = profiles or LANGUAGE_WORDS
-    low = F.lower(text_or_empty(text))
-    scores = []
-    for rank, (lang, words) in enumerate(profiles.items()):
-        pattern = r"(?<![\p{L}\p{N}_])(?:" + "|".join(words.split()) + r")(?![\p{L}\p{N}_])"
-        scores.append(
-            F.struct(
-                F.regexp_count(low, F.lit(pattern)).alias("score"),
-                F.lit(-rank).alias("rank"),
-                F.lit(lang).alias("lang"),
-            )
-        )
-    return F.array(*scores)
+    words = F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}_]+")
+    zero = F.struct(*[F.lit(0).alias(lang) for lang in profiles])
+    counts = F.aggregate(
+        words,
+        zero,
+        lambda acc, w: F.struct(
+            *[
+                (acc[lang] + w.isin(listed.split()).cast("int")).alias(lang)
+                for lang, listed in profiles.items()
+            ]
+        ),
+        lambda acc: F.array(
+            *[
+                F.struct(
+                    acc[lang].alias("score"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang")
+                )
+                for rank, lang in enumerate(profiles)
+            ]
+        ),
+    )
+    return counts
 
 
 def detect_lang(text: ColumnOrName, profiles: dict[str, str] | None = None) -> Column:
     """Language with most function words, ``en`` when none occurs, null for no text."""
-    best = F.array_max(language_scores(text, profiles))
-    lang = F.when(best["score"] > 0, best["lang"]).otherwise(F.lit("en"))
+    best = F.filter(language_scores(text, profiles), lambda s: s["score"] > 0)
+    lang = F.coalesce(F.array_max(best)["lang"], F.lit("en"))
     return F.when(clean_null(text).isNotNull(), lang)
