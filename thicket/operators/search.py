@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from thicket.operators.containment import found_needles
 from thicket.operators.ordering import dedupe_best, first_n, top_k
 from thicket.session import small_side
 
+# task code travels with the job, so executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FILTER_COLUMNS = {
     "parents": "array<string>",
     "scopes": "array<string>",
