@@ -203,7 +203,8 @@ _ASK_KG = W.with_sql(
 )
 def concept_keyword_search(spark, d):
     filters = Q.extract_filters(W.template_questions(spark, d))
-    found = S.filtered_search(filters, R.concept_rows(W.kg_triples(spark, d)), 36)
+    concepts = materialise(R.concept_rows(W.kg_triples(spark, d)))
+    found = S.filtered_search(filters, concepts, 36)
     return found.select(
         "qid", "uri", "score", "rank", "label", "definition",
         X.text_or_empty("country").alias("country"), "year", "scope", "org",

@@ -54,7 +54,7 @@ def hybrid_hits(
 ) -> DataFrame:
     """R12 up to the cut: both searches at 3k, fused, boosted, best ``k``."""
     vec = vector_hits(filters, index, 3 * k)
-    kw = keyword_rows(filters, concept_rows(triples), 3 * k)
+    kw = keyword_rows(filters, materialise(concept_rows(triples)), 3 * k)
     return S.boost(fuse(vec, kw, 3 * k), filters, k, labels)
 
 
@@ -104,7 +104,7 @@ def planned_retrieve(
     searches = calls.filter(F.col("tool") == "sparql_search")
     owners = small_side(searches.select("cid", F.col("qid").alias("owner"), "call"))
     by_call = searches.withColumn("qid", F.col("cid")).drop("cid", "call", "tool")
-    found = S.filtered_search(by_call, concept_rows(triples), k)
+    found = S.filtered_search(by_call, materialise(concept_rows(triples)), k)
     kw = found.join(owners, found["qid"] == owners["cid"]).select(
         F.col("owner").alias("qid"), "uri",
         X.format_planned_hit("label", "definition").alias("text"),
