@@ -11,13 +11,11 @@ from thicket.catalog import ENTRIES
 from thicket.session import get_session
 
 HEADLINE = [
-    "heading_paths", "line_parts", "line_definitions", "note_attribution", "clean_lines",
-    "document_languages", "identifiers", "minted_identifiers", "definition_triples",
-    "paragraph_records", "unfccc_triples", "graph_statistics", "graph_edges", "graph_nodes",
-    "node_degrees", "relation_panels", "drill_down_lists", "reparented_members", "revised_graph",
-    "question_keyword_lists", "document_filters", "document_keyword_search", "nearest_vectors",
-    "fused_document_hits", "document_context", "concept_keyword_search", "graph_contexts",
-    "thresholds_by_country", "thresholds_by_continent", "hybrid_retrieval", "streamed_questions",
+    "heading_paths", "line_definitions", "note_attribution", "document_languages",
+    "minted_identifiers", "definition_triples", "graph_statistics", "graph_edges", "graph_nodes",
+    "node_degrees", "relation_panels", "revised_graph", "question_keyword_lists",
+    "document_keyword_search", "nearest_vectors", "document_context", "concept_keyword_search",
+    "graph_contexts", "thresholds_by_country", "hybrid_retrieval",
 ]
 
 

@@ -130,7 +130,9 @@ def keyword_scores(questions: DataFrame, concepts: DataFrame) -> DataFrame:
 
     Concept rows stay hash-partitioned by uri from the needles found to the
     score, so the pairs of questions and concepts are made, filtered, reduced
-    and cut to the best k of each task before anything is shuffled again.
+    and cut to the best k of each task before anything is shuffled again. The
+    filter columns belong to the uri and are grouped by, which keeps the buffers
+    plain numbers.
     """
     questions = _with_missing(questions, {"concept": "string", "scope": "string", "org": "string"})
     concepts = _with_missing(concepts, FILTER_COLUMNS)
@@ -146,13 +148,12 @@ def keyword_scores(questions: DataFrame, concepts: DataFrame) -> DataFrame:
         found.select("uri", *FILTER_COLUMNS, F.explode("found").alias("f"))
         .select("uri", "f.rid", "f.needle", *FILTER_COLUMNS)
         .join(asked, "needle")
-        .groupBy("uri", "rid", "qid")
+        .groupBy("uri", "rid", "qid", *FILTER_COLUMNS)
         .agg(
             F.sum("weight").alias("hits"),
             F.max("keywords").alias("keywords"),
             F.max("concept_hit").alias("concept_hit"),
             F.max("scope_hit").alias("scope_hit"),
-            *[F.first(c).alias(c) for c in FILTER_COLUMNS],
         )
         .filter(F.col("hits") > 0)
     )
