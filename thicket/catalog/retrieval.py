@@ -538,7 +538,6 @@ _FULL = (
 
 
 def _thresholds(spark, d):
-    """Threshold rows of all but the largest-numbered names keep the table fallback in use."""
     return threshold_rows(W.thresholds_raw(spark, d))
 
 

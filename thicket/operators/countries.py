@@ -9,7 +9,6 @@ from thicket import vocab as V
 from thicket.functions import questions as Q
 from thicket.functions import text as X
 from thicket.operators.containment import contained_in, near_names
-from thicket.operators.ordering import dedupe_best
 
 # -- country mentions in notes ----------------------------------------------
 

@@ -9,7 +9,7 @@ from thicket import vocab as V
 from thicket.functions import text as X
 from thicket.operators.containment import contained_in
 from thicket.operators.ordering import first_n
-from thicket.operators.triples import match, members
+from thicket.operators.triples import match
 
 # -- nodes and edges --------------------------------------------------------
 
