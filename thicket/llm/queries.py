@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thicket.llm.jaccard_join import op6_jaccard_join
 from thicket.llm.lm_scoring import op7_lm_scoring
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_lm_scoring,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_jaccard_join, op7_lm_scoring)}
 SQL: dict[str, str] = {}
