@@ -8,12 +8,14 @@ Sets link when 100 * intersection >= 90 * union, that is when they share at leas
   the needed size, as hashes. Two sets with the same subset share it, so no check has to follow.
 * *Heavy* pairs, both larger: inverted lists over each set's rarest elements; any two linked sets meet in
   one of these lists. Lists with the same first member become one group, and groups are compared
-  block against block, with exact intersections.
+  block against block: first by histograms of the sets' hashes, whose common part is never less than the
+  intersection, then, for sets that still may link, by exact intersections.
 * ``boundary`` is the size at which the rows that subsets would make outweigh those of the lists.
 
 Within a subset or a block only a spanning forest of the links is emitted, never all pairs; components
-need no more. Frequent elements, found by counting all documents, come last in the order by which a
-set's rarest elements are picked. That table is bounded and only an order: it decides cost, not results.
+need no more. "Rarest" is by a fixed order: frequent elements, found by counting all documents, come
+last; before them shingles of many bytes come first, as long words seldom meet by chance. The table of
+frequent elements is bounded and only an order: it decides cost, not results.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ MAX_LIGHT = 32
 FREQUENT_ROWS = 100_000
 FREQUENT_LEAST = 8
 BLOCK = 512
+FINE_FROM = 4096
 COLUMNS = 4096
 LIST_COST = 12
 
@@ -78,19 +81,34 @@ def choose_boundary(sizes: dict[int, int]) -> int:
     return min(range(MAX_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def _sets(batch_texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, distinct shingle hashes in order) of each text."""
+def _sets(batch_texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, distinct shingle hashes in order, bytes in the words of each) of each text."""
     for lo, hi, raw, offsets in chunks(batch_texts):
         starts, ends, rows = word_bounds(raw, offsets)
-        words = word_hashes(raw, starts, ends)
+        words, length = word_hashes(raw, starts, ends), np.concatenate([[0], np.cumsum(ends - starts)])
         for k in range(hi - lo):
-            yield lo + k, np.unique(shingle_hashes(words[rows[k] : rows[k + 1]], size))
+            i, j = rows[k], rows[k + 1]
+            elements, at = np.unique(shingle_hashes(words[i:j], size), return_index=True)
+            n = min(size, j - i)
+            yield lo + k, elements, length[i + at + n] - length[i + at]
 
 
 def _sid(elements: np.ndarray) -> int:
     return int(mix64(mix64(elements).sum(keepdims=True) + np.uint64(len(elements))).view(np.int64)[0])
 
 
+def _histogram(elements: np.ndarray) -> bytes:
+    """How many elements have each value of their top bits."""
+    bits = 8 if len(elements) < FINE_FROM else 11
+    count = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint16 if count.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts(histogram: bytes) -> np.ndarray:
+    width = {512: np.uint16, 1024: np.uint32, 4096: np.uint16, 8192: np.uint32}[len(histogram)]
+    return np.frombuffer(histogram, width).astype(np.int32)
+
+
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
     """A row (kind 0) for each document with its set's size and hash; rows (kind 1) of elements that a
     task has met in several sets, with the number of sets."""
@@ -98,7 +116,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sid, met, waiting, held = [], [], set(), [], [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-            for _, elements in _sets(batch.column(1), size):
+            for _, elements, _ in _sets(batch.column(1), size):
                 n.append(len(elements))
                 sid.append(_sid(elements))
                 if sid[-1] not in met:
@@ -125,15 +143,15 @@ def _counted(held: list[np.ndarray], waiting: list[np.ndarray]) -> list[np.ndarr
 
 
 def _listed(docs: DataFrame, size: int, boundary: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, sid, role): role 1 and 2 for subset keys of sets with the smaller and the larger size of
-    their class, 0 for list keys."""
+    """(key, sid, role, histogram): role 1 and 2 for subset keys of sets with the smaller and the larger
+    size of their class, 0 for list keys, 3 for one row with the histogram of a listed set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_ROWS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = sent.value
         for batch in batches:
-            keys, sids, roles, met = [], [], [], set()
-            for _, elements in _sets(batch.column(1), size):
+            keys, sids, roles, met, own, counts = [], [], [], set(), [], []
+            for _, elements, length in _sets(batch.column(1), size):
                 s = len(elements)
                 sid = _sid(elements) if s else 0
                 if not s or sid in met:
@@ -148,14 +166,19 @@ def _listed(docs: DataFrame, size: int, boundary: int, frequent: tuple[np.ndarra
                     if len(common):
                         at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
                         rank = np.where(common[at] == elements, often[at], 0)
-                    keys.append(elements[np.argsort(rank, kind="stable")[: prefix(s)]])
+                    keys.append(elements[np.lexsort((elements, -length, rank))[: prefix(s)]])
                     sids.append(np.full(len(keys[-1]), sid))
                     roles.append(np.zeros(len(keys[-1]), np.int32))
+                    own.append(sid)
+                    counts.append(_histogram(elements))
+            names = ["key", "sid", "role", "histogram"]
             if keys:
                 columns = np.concatenate(keys).view(np.int64), np.concatenate(sids), np.concatenate(roles)
-                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "sid", "role"])
+                yield pa.record_batch([*(pa.array(c) for c in columns), pa.nulls(len(columns[0]), pa.binary())], names=names)
+            if own:
+                yield pa.record_batch([pa.array(np.zeros(len(own), np.int64)), pa.array(own, pa.int64()), pa.array(np.full(len(own), 3, np.int32)), pa.array(counts, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "key long, sid long, role int")
+    return docs.mapInArrow(run, "key long, sid long, role int, histogram binary")
 
 
 def _subsets(elements: np.ndarray, small: int, large: int) -> np.ndarray:
@@ -226,22 +249,37 @@ def _links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.nda
     return _forest(linked)
 
 
-def _compared(cells: DataFrame) -> DataFrame:
-    """Edges (a, b) of each cell (hub, i, j), whose rows lie together and in order in a partition."""
+def _may_link(histograms: list[bytes], side: np.ndarray) -> np.ndarray:
+    """Which sets may link with another of theirs (of the other side, where both sides occur)."""
+    counts = [_counts(h) for h in histograms]
+    width = min(map(len, counts))
+    matrix = np.array([c.reshape(width, -1).sum(axis=1) for c in counts])
+    sizes = matrix.sum(axis=1)
+    out = np.zeros(len(matrix), bool)
+    both = side.any() and not side.all()
+    for i in range(len(matrix) - 1):
+        common = np.minimum(matrix[i], matrix[i + 1 :]).sum(axis=1)
+        found = 190 * common >= 90 * (sizes[i] + sizes[i + 1 :])
+        if both:
+            found &= side[i + 1 :] != side[i]
+        if found.any():
+            out[i] = True
+            out[i + 1 :] |= found
+    return out
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Each set of a group in the cells (hub, i, j) in which its block meets its own and the other blocks."""
+    placed = members.withColumn("block", F.pmod(F.hash("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("hub", "sid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _by_cell(cells: DataFrame, value: str, compare, schema: str) -> DataFrame:
+    """``compare(sids, values, side)`` of each cell, whose rows lie together and in order in a partition."""
 
     def cell(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        sid = np.array([r[3] for r in rows])
-        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
-        if len(rows) == 2:
-            both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-            hit = rows[0][1] != rows[0][2] and rows[0][4] == rows[1][4]
-            a, b = ([0], [1]) if not hit and 190 * both >= 90 * (len(sets[0]) + len(sets[1])) else ([], [])
-        else:
-            a, b = _links(sets, np.array([r[4] for r in rows]) != rows[0][1])
-        if len(a):
-            yield pa.record_batch([pa.array(sid[a]), pa.array(sid[b])], names=["a", "b"])
+        if len(rows) > 1 and (rows[0][1] == rows[0][2] or len({r[4] for r in rows}) == 2):
+            yield from compare(np.array([r[3] for r in rows]), [r[5] for r in rows], np.array([r[4] for r in rows]) != rows[0][1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
@@ -253,8 +291,20 @@ def _compared(cells: DataFrame) -> DataFrame:
                 waiting.append(row)
         yield from cell(waiting)
 
-    cells = cells.select("hub", "i", "j", "sid", "block", "elements")
-    return cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "a long, b long")
+    cells = cells.select("hub", "i", "j", "sid", "block", value)
+    return cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, schema)
+
+
+def _survivors(sids: np.ndarray, histograms: list[bytes], side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    found = sids[_may_link(histograms, side)]
+    if len(found):
+        yield pa.record_batch([pa.array(found)], names=["sid"])
+
+
+def _edges(sids: np.ndarray, data: list[bytes], side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    a, b = _links([np.frombuffer(x, np.uint64) for x in data], side)
+    if len(a):
+        yield pa.record_batch([pa.array(sids[a]), pa.array(sids[b])], names=["a", "b"])
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, folder: str | None = None) -> DataFrame:
@@ -280,18 +330,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     boundary = choose_boundary({r.n: r["count"] for r in small})
 
     listed = stored(_listed(docs, size, boundary, frequent), f"{folder}/listed")
+    histograms = listed.where("role = 3").select("sid", "histogram")
     subsets = listed.where("role > 0").select("key", "sid", "role").distinct()
     hub = subsets.where("role = 1").groupBy("key").agg(F.min("sid").alias("hub"))
     light = subsets.join(hub, "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
 
     members = _groups(listed.where("role = 0").select("key", "sid"), own.select("sid", "n"), folder)
     members = stored(members, f"{folder}/grouped")
-    wanted = members.select("sid").distinct().join(own, "sid").select("doc_id", F.col("sid").alias("want"))
+    sketched = histograms.join(members.select("sid").distinct(), "sid").dropDuplicates(["sid"])
+    may = _by_cell(_cells(members).join(sketched, "sid"), "histogram", _survivors, "sid long")
+    may = stored(may.distinct(), f"{folder}/survivors")
+    wanted = may.join(own, "sid").select("doc_id", F.col("sid").alias("want"))
 
     def only_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want, sid, data = batch.column(0).to_pylist(), [], []
-            for row, elements in _sets(batch.column(1), size):
+            for row, elements, _ in _sets(batch.column(1), size):
                 if len(elements) and _sid(elements) == want[row]:  # an id may be on several texts
                     sid.append(want[row])
                     data.append(elements.tobytes())
@@ -299,9 +353,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("want", "text")
     sets = texts.mapInArrow(only_sets, "sid long, elements binary").dropDuplicates(["sid"])
-    placed = members.withColumn("block", F.pmod(F.hash("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("hub", "sid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    heavy = _compared(cells.join(sets, "sid"))
+    heavy = _by_cell(_cells(members).join(sets, "sid"), "elements", _edges, "a long, b long")
 
     found = connected_components(light.union(heavy), f"{folder}/components")
     label = signed.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
