@@ -16,6 +16,8 @@ once for each task and kept, in a bounded store, as the tokenizer never joins id
 
 from __future__ import annotations
 
+import itertools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +35,8 @@ from thicket.llm._text import chunks, word_bounds, word_hashes
 
 SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 15
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 3 << 18
+BATCH_WORDS = 2048
 END_ID = 2
 LEVEL = 3
 DOCS_PER_FILE = 8192
@@ -68,45 +71,67 @@ class SeekableFile:
 
 
 class Encoder:
-    """A tokenizer with the ids of the words met so far, in sorted arrays."""
+    """A tokenizer with the ids of the words met so far, in sorted arrays.
+
+    When the store is full, words that only one run of texts had are let go.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.clear()
-
-    def clear(self) -> None:
-        self.words, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
-
-    def _learn(self, words: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        if len(self.words) + len(words) > KEPT_WORDS:
-            self.clear()
-        first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((x for ids in found for x in ids), self.kind, int(count.sum()))])
+        self.words, self.ids = np.zeros(0, np.uint64), np.zeros(0, self.kind)
+        self.first, self.count, self.runs = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _ids_of(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        before = np.cumsum(count) - count
+        return self.ids[np.repeat(first - before, count) + np.arange(int(count.sum()))]
+
+    def _let_go(self) -> None:
+        keep = self.runs > 1
+        if 2 * keep.sum() > KEPT_WORDS:
+            keep[:] = False
+        self.ids = self._ids_of(self.first[keep], self.count[keep])
+        self.words, self.count, self.runs = self.words[keep], self.count[keep], np.ones(int(keep.sum()), np.int32)
+        self.first = np.cumsum(self.count, dtype=np.int64) - self.count
+
+    def _learn(self, words: np.ndarray, texts: Iterator[str]) -> None:
+        ids, count = [self.ids], []
+        while some := list(itertools.islice(texts, BATCH_WORDS)):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            count += map(len, found)
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), self.kind))
+        count = np.array(count, np.int32)
+        first = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        self.ids = np.concatenate(ids)
         at = np.searchsorted(self.words, words)
-        self.words, self.first, self.count = (np.insert(a, at, b) for a, b in ((self.words, words), (self.first, first), (self.count, count)))
+        self.words, self.first, self.count, self.runs = (np.insert(a, at, b) for a, b in ((self.words, words), (self.first, first), (self.count, count), (self.runs, 0)))
+
+    def _missing(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.arange(len(words))
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.flatnonzero(self.words[at] != words)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with the end id, and the offsets of the rows."""
         starts, ends, rows = word_bounds(raw, offsets)
         words, sample, place = np.unique(word_hashes(raw, starts, ends, lower=False), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
-        new = np.flatnonzero(self.words[at] != words) if len(self.words) else np.arange(len(words))
+        new = self._missing(words)
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self._let_go()
+            new = self._missing(words)
         if len(new):
             data = raw.tobytes()
-            if len(self.words) + len(new) > KEPT_WORDS:  # the store is emptied: this run's words are all new
-                new = np.arange(len(words))
-                self.clear()
-            self._learn(words[new], [data[s:e].decode() for s, e in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)])
-        at = np.searchsorted(self.words, words)[place]
-        count, first = self.count[at], self.first[at]
-        total = np.concatenate([[0], np.cumsum(count)])
-        source = np.repeat(first - total[:-1], count) + np.arange(total[-1])
-        ids = np.insert(self.ids[source], total[rows[1:]], end_id)
+            self._learn(words[new], (data[s:e].decode() for s, e in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)))
+        at = np.searchsorted(self.words, words)
+        self.runs[at] += 1
+        at = at[place]
+        count = self.count[at]
+        total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        ids = np.insert(self._ids_of(self.first[at], count), total[rows[1:]], end_id)
         return ids, total[rows] + np.arange(len(rows))
 
 
