@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from thicket.llm import decontaminate, mixing
 from thicket.llm.jaccard_join import op6_jaccard_join
 from thicket.llm.lm_scoring import op7_lm_scoring
+from thicket.llm.quality import op4_quality
 from thicket.llm.token_files import op5_token_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (decontaminate.op2_decontaminate, op5_token_files, op6_jaccard_join, op7_lm_scoring, mixing.op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (decontaminate.op2_decontaminate, op4_quality, op5_token_files, op6_jaccard_join, op7_lm_scoring, mixing.op9_mixing)}
 SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL}
