@@ -33,13 +33,14 @@ def test_slots(spark):
 
 
 @pytest.mark.parametrize("text, want", [
-    ("In May John saw 3 km, Then. Then he ran 5.5km (Bob)", f"in {dc.NAME} {dc.NAME} saw {dc.NUM} {dc.UNIT} {dc.NAME} then he ran {dc.NUM} {dc.NAME}"),
+    ("In May John saw 3 km, Then. Then he ran 5.5km (Bob)", "in Nmay Njohn saw #3 %km Nthen then he ran #5.5km Nbob"),
     ("| -- 'quoted' km 3rd", "| -- quoted km 3rd"),
     (None, ""),
     (" \t\n", ""),
 ])
 def test_template(spark, text, want):
-    assert spark.createDataFrame([(text,)], "text string").select(dc.template(dc.F.col("text"))).first()[0] == want
+    got = spark.createDataFrame([(text,)], "text string").select(dc.template(dc.F.col("text"))).first()[0]
+    assert got.replace(dc.NAME, "N").replace(dc.NUM, "#").replace(dc.UNIT, "%") == want
 
 
 def test_edge_rows(spark):

@@ -18,8 +18,8 @@ the word before it is a number; a name if it begins with an upper-case and then
 not the first word, and the word before it does not end in one of ``.!?:'")]``.
 
 Windows are matched by 64-bit hashes. The two sides are joined without a hint: a small benchmark is sent
-to the documents by the planner's own limit, a large one is shuffled. Documents are read a second time for
-their slots, but only those with a hit.
+to the documents by the planner's own limit, a large one is shuffled. A window carries the values of its own
+slots, so documents are read once.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ UNITS = [
     "months", "years", "grams", "kilograms", "liters", "litres", "degrees",
 ]
 
-NUM, NAME, UNIT = "\u0002", "\u0003", "\u0004"
+BETWEEN, NUM, NAME, UNIT, LAST = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
 SPACE = r"[\x20\x09-\x0D]+"
 MARKS = r"!-/:-@\[-`{-~"
 _UNIT = "|".join(UNITS)
@@ -53,42 +53,43 @@ def _spaced(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """The template words with one space between them; as many words as the text has."""
-    out = F.regexp_replace(_spaced(text), rf"(?<=[^.!?:'\")\]\x20]\x20)[{MARKS}]*\p{{Lu}}\p{{Ll}}[^\x20]*", NAME)
+    """The template words with one space between them, as many as the text has; a placeholder is one of
+    ``NUM``, ``NAME`` and ``UNIT``, with the value that it stands for behind it."""
+    out = F.regexp_replace(_spaced(text), rf"(?<=[^.!?:'\")\]\x20]\x20)[{MARKS}]*(\p{{Lu}}\p{{Ll}}[^\x20]*)", f"{NAME}$1")
     out = F.regexp_replace(F.lower(out), rf"(?<![^\x20])[{MARKS}]+(?=[^\x20{MARKS}])|(?<=[^\x20{MARKS}])[{MARKS}]+(?![^\x20])", "")
-    with_numbers = F.regexp_replace(out, rf"(?<![^\x20]){_NUMBER}(?![^\x20])", NUM)
-    with_units = F.regexp_replace(with_numbers, rf"(?<={NUM}\x20)(?:{_UNIT})(?![^\x20])", UNIT)
+    with_numbers = F.regexp_replace(out, rf"(?<![^\x20])({_NUMBER})(?![^\x20])", f"{NUM}$1")
+    with_units = F.regexp_replace(with_numbers, rf"({NUM}[^\x20]+\x20)({_UNIT})(?![^\x20])", f"$1{UNIT}$2")
     return F.when(F.coalesce(text, F.lit("")).rlike("[0-9]"), with_units).otherwise(out)
 
 
-def _core(word: Column) -> Column:
-    """A word without the marks at its ends; a word of marks as it is."""
-    return F.regexp_replace(word, rf"^[{MARKS}]+(?=[^{MARKS}])|(?<=[^{MARKS}])[{MARKS}]+$", "")
+def _kind(word: Column) -> Column:
+    """The placeholder of a template word; the word itself where it is a literal."""
+    return F.when(word < LAST, F.substring(word, 1, 1)).otherwise(word)
 
 
-def _hashed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, h): hashes of the template words in order; a Generate keeps them from being computed again."""
-    words = F.split(template(F.col(text)), " ")
-    return df.select(*keys, F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("h"))
+def _value(word: Column) -> Column:
+    return F.when(word < LAST, F.substring(word, 2, 1 << 30)).otherwise("")
 
 
-def _windows(hashed: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
-    """(keys, pos, length, key) of all runs of so many words."""
+def _words(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, w, h, v): template words, their hashes and their values; Generates keep them from being
+    computed again for each use."""
+    rows = df.select(*keys, F.explode(F.array(F.split(template(F.col(text)), " "))).alias("w"))
+    both = F.struct(F.transform("w", lambda w: F.xxhash64(_kind(w))).alias("h"), F.transform("w", _value).alias("v"))
+    return rows.select(*keys, "w", F.explode(F.array(both)).alias("hv")).select(*keys, "w", "hv.h", "hv.v")
+
+
+def _windows(words: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """(keys, pos, length, key, values) of all runs of so many words; values of literals are empty."""
     h, runs = F.col("h"), []
     for n in lengths:
-        every = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("length"), F.xxhash64(F.lit(n), *(F.get(h, i + k) for k in range(n))).alias("key")))
+        every = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(
+            i.alias("pos"), F.lit(n).alias("length"), F.xxhash64(F.lit(n), *(F.get(h, i + k) for k in range(n))).alias("key"),
+            F.concat_ws(BETWEEN, F.slice("v", i + 1, n)).alias("values"),
+        ))
         runs.append(F.when(F.size(h) >= n, every))
-    rows = hashed.select(*keys, F.explode(runs[0] if len(runs) == 1 else F.flatten(F.array_compact(F.array(*runs)))).alias("run"))
-    names = [c for c in rows.columns if c != "run"]
-    return rows.select(*names, "run.pos", "run.length", "run.key")
-
-
-def _slots(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, pos, kind, value) of the words that are numbers, names or units."""
-    both = F.arrays_zip(F.split(template(F.col(text)), " ").alias("t"), F.split(_spaced(F.col(text)), " ").alias("w"))
-    rows = df.select(*keys, F.posexplode(both).alias("pos", "word"))
-    rows = rows.select(*keys, "pos", F.col("word.t").alias("kind"), "word.w")
-    return rows.where(F.col("kind").isin(NUM, NAME, UNIT)).select(*keys, "pos", "kind", F.lower(_core(F.col("w"))).alias("value"))
+    rows = words.select(*keys, F.explode(runs[0] if len(runs) == 1 else F.flatten(F.array_compact(F.array(*runs)))).alias("run"))
+    return rows.select(*keys, "run.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", folder: str | None = None) -> DataFrame:
@@ -105,29 +106,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_tex
     items = stored(items.distinct(), f"{folder}/items")
     names = ["item", "ih"]
 
-    known = items.select(*names, F.explode(F.array(F.split(template(F.col("text")), " "))).alias("w"))
-    known = known.select(*names, "w", F.least(F.size("w"), F.lit(WINDOW)).alias("length"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    known = _words(items, names, "text").withColumn("own", F.least(F.size("w"), F.lit(WINDOW)))
     known = stored(known, f"{folder}/known")
-    lengths = [r.length for r in known.select("length").where(F.col("length") >= LITERALS).distinct().collect()]  # at most WINDOW values
+    lengths = [r.own for r in known.select("own").where(F.col("own") >= LITERALS).distinct().collect()]  # at most WINDOW values
     if not lengths:
         nothing = (F.lit(0).cast("long").alias(c) for c in ("windows", "item_windows", "changed"))
         return docs.where(F.lit(False)).select("doc_id", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), *nothing)
-    wanted = _windows(known, [*names, "w", F.col("length").alias("own")], lengths).where("length = own")
-    literal = F.size(F.filter(F.slice("w", F.col("pos") + 1, F.col("length")), lambda w: ~w.isin(NUM, NAME, UNIT)))
-    wanted = stored(wanted.where(literal >= LITERALS).select(*names, F.col("pos").alias("at"), "length", "key"), f"{folder}/wanted")
-    found = _windows(_hashed(docs, ["doc_id", "th"], "text"), ["doc_id", "th"], lengths).drop("length")
-    hits = found.join(wanted, "key").select("doc_id", "th", *names, (F.col("pos") - F.col("at")).alias("shift"), "at", "length").distinct()
-    hits = stored(hits, f"{folder}/hits")
-
-    texts = hits.select("doc_id", "th").distinct()
-    again = docs.alias("d").join(texts.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.th") == F.col("t.th")), "left_semi")
-    in_docs = stored(_slots(again.distinct(), ["doc_id", "th"], "text"), f"{folder}/slots")
-    in_items = _slots(items.select(*names, "text"), names, "text").withColumnRenamed("value", "asked")
+    wanted = _windows(known, [*names, "w", "own"], lengths).where("length = own").withColumn("w", F.slice("w", F.col("pos") + 1, F.col("length")))
+    literal = F.size(F.filter("w", lambda w: w >= LAST))
+    wanted = stored(wanted.where(literal >= LITERALS).select(*names, F.col("pos").alias("at"), "w", "key"), f"{folder}/wanted")
+    found = _windows(_words(docs, ["doc_id", "th"], "text"), ["doc_id", "th"], lengths).drop("length")
+    hits = found.join(wanted, "key").select("doc_id", "th", *names, (F.col("pos") - F.col("at")).alias("shift"), "at", "w", "values")
+    hits = stored(hits.dropDuplicates(["doc_id", "th", *names, "shift", "at"]), f"{folder}/hits")
+
     place = ["doc_id", "th", *names, "shift"]
-    covered = hits.select(*place, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("p")).distinct()
-    asked = covered.join(in_items.withColumnRenamed("pos", "p"), [*names, "p"]).withColumn("pos", F.col("p") + F.col("shift"))
-    pairs = asked.alias("a").join(in_docs.select(*(F.col(c).alias(f"d_{c}") for c in ("doc_id", "th", "pos", "value"))), F.col("a.doc_id").eqNullSafe(F.col("d_doc_id")) & (F.col("a.th") == F.col("d_th")) & (F.col("a.pos") == F.col("d_pos")))
-    pairs = pairs.groupBy(*place, "kind", "asked", F.col("d_value").alias("value")).agg(F.count("*").alias("n"))
+    slot = F.arrays_zip(F.col("w"), F.split("values", BETWEEN, -1).alias("value"))
+    pairs = hits.select(*place, "at", F.posexplode(slot).alias("p", "slot")).where(F.col("slot.w") < LAST)
+    pairs = pairs.select(*place, (F.col("at") + F.col("p")).alias("p"), F.substring("slot.w", 1, 1).alias("kind"), F.substring("slot.w", 2, 1 << 30).alias("asked"), "slot.value").distinct()
+    pairs = pairs.groupBy(*place, "kind", "asked", "value").agg(F.count("*").alias("n"))
     # one value on the other side, each way
     there = pairs.groupBy(*place, "kind", "asked").agg((F.min("value") == F.max("value")).alias("ok"), F.sum(F.when(F.col("value") != F.col("asked"), F.col("n")).otherwise(0)).alias("changed"))
     back = pairs.groupBy(*place, "kind", "value").agg((F.min("asked") == F.max("asked")).alias("ok"), F.lit(0).cast("long").alias("changed"))
