@@ -10,8 +10,9 @@ from thicket.llm import decontaminate, mixing
 from thicket.llm.html_extract import op1_html_extract
 from thicket.llm.jaccard_join import op6_jaccard_join
 from thicket.llm.lm_scoring import op7_lm_scoring
+from thicket.llm.media import op10_media
 from thicket.llm.quality import op4_quality
 from thicket.llm.token_files import op5_token_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extract, decontaminate.op2_decontaminate, op4_quality, op5_token_files, op6_jaccard_join, op7_lm_scoring, mixing.op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extract, decontaminate.op2_decontaminate, op4_quality, op5_token_files, op6_jaccard_join, op7_lm_scoring, mixing.op9_mixing, op10_media)}
 SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL}
