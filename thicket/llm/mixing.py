@@ -82,7 +82,7 @@ def schedule(plan: DataFrame) -> DataFrame:
     counts = rows.groupBy("s", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("s", "chunk", (F.sum("n").over(Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("k")) - 1
-    ranked = rows.withColumn("within", within).join(before, ["s", "chunk"])
+    ranked = rows.withColumn("within", within).join(before.hint("merge"), ["s", "chunk"])  # derived from few rows, which says nothing of its size
     ranked = ranked.withColumn("rank", F.col("before") + F.col("within"))
     return ranked.select("k", "s", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     spans = rows.where("size > 0").join(plan.select("s", F.col("block").alias("words")), "s")
     parts = spans.select("s", "seq", "start", "size", "words", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
     part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest("start", F.col("block") * F.col("words"))
-    taken = parts.join(uses, ["s", "block"]).groupBy("s", "seq").agg(F.sum(part * F.col("uses")).alias("taken"))
+    taken = parts.join(uses.hint("merge"), ["s", "block"]).groupBy("s", "seq").agg(F.sum(part * F.col("uses")).alias("taken"))
     out = rows.join(taken, ["s", "seq"], "left").join(plan.select("s", "source_size", "target"), "s")
     return out.select("doc_id", "th", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
