@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.llm._graph import connected_components
@@ -363,5 +363,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; of rows that agree in id
+    and text, one. Documents without shingles stay, and so do null ids that link with no other id."""
+    heads = join(docs, size=size).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("head")).distinct()
+    one = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))))
+    return one.withColumn("nth_", nth).where("nth_ = 1").drop("nth_")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
