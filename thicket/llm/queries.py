@@ -14,6 +14,7 @@ from thicket.llm.media import op10_media
 from thicket.llm.quality import op4_quality
 from thicket.llm.secret_scan import op3_secret_scan
 from thicket.llm.token_files import op5_token_files
+from thicket.llm.toxicity import op8_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extract, decontaminate.op2_decontaminate, op3_secret_scan, op4_quality, op5_token_files, op6_jaccard_join, op7_lm_scoring, mixing.op9_mixing, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extract, decontaminate.op2_decontaminate, op3_secret_scan, op4_quality, op5_token_files, op6_jaccard_join, op7_lm_scoring, op8_toxicity, mixing.op9_mixing, op10_media)}
 SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL}
