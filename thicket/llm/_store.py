@@ -11,6 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1000
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -22,8 +25,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes rows as Parquet and reads them back: cuts the lineage and keeps columns prunable."""
-    df.write.parquet(path)
+    """Writes rows as Parquet and reads them back: cuts the lineage and keeps columns prunable.
+
+    Texts are long, so Arrow batches are kept to ``BATCH_ROWS`` rows meanwhile, which bounds what a Python
+    worker and its task hold at once.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

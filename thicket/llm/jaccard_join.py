@@ -37,6 +37,7 @@ SHINGLE = 3
 MAX_LIGHT = 32
 FREQUENT_ROWS = 100_000
 FREQUENT_LEAST = 8
+FLUSH_ROWS = 500_000
 BLOCK = 512
 FINE_FROM = 4096
 COLUMNS = 4096
@@ -113,9 +114,16 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     """A row (kind 0) for each document with its set's size and hash; rows (kind 1) of elements that a
     task has met in several sets, with the number of sets."""
 
+    def met_often(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+        many = held[1] > 1
+        return pa.record_batch([pa.nulls(int(many.sum()), id_type), pa.array(held[1][many]), pa.array(held[0][many].view(np.int64)), pa.array(np.ones(int(many.sum()), np.int32))], names=["doc_id", "n", "sid", "kind"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type, empty = None, [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        met, waiting, held = set(), [], empty
         for batch in batches:
-            n, sid, met, waiting, held = [], [], set(), [], [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+            id_type = batch.column(0).type
+            n, sid = [], []
             for _, elements, _ in _sets(batch.column(1), size):
                 n.append(len(elements))
                 sid.append(_sid(elements))
@@ -123,12 +131,14 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                     met.add(sid[-1])
                     waiting.append(elements)
                 if len(waiting) >= 2000:
-                    held, waiting = _counted(held, waiting), []
-            held = _counted(held, waiting)
+                    held, waiting, met = _counted(held, waiting), [], set()
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(np.zeros(len(n), np.int32))], names=["doc_id", "n", "sid", "kind"])
-            many = held[1] > 1
-            if many.any():
-                yield pa.record_batch([pa.nulls(int(many.sum()), batch.column(0).type), pa.array(held[1][many]), pa.array(held[0][many].view(np.int64)), pa.array(np.ones(int(many.sum()), np.int32))], names=["doc_id", "n", "sid", "kind"])
+            if len(held[0]) > FLUSH_ROWS:
+                yield met_often(held, id_type)
+                held = empty
+        held = _counted(held, waiting)
+        if id_type is not None:
+            yield met_often(held, id_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n long, sid long, kind int")
