@@ -45,7 +45,7 @@ _REC = {
     "url": "'http://d.example.org/' || c", "ref": "'Ref. ' || a",
 }
 RECORDS_SQL = (
-    "recs AS (SELECT *, row_number() OVER (ORDER BY a, b, c, d) AS pos FROM (SELECT "
+    "recs AS (SELECT *, row_number() OVER (ORDER BY a, b, c, d, title_1, title_2, title_3, title_4) AS pos FROM (SELECT "
     + ", ".join(f"{e} AS {n}" for n, e in _REC.items()) + " FROM lines))"
 )
 RECORDS = W.with_sql(W.BASE_SQL, W.COUNTRY_SQL, W.LINES_SQL, RECORDS_SQL)

@@ -310,7 +310,8 @@ _LINE_FROM = """lineitem JOIN orders ON l_orderkey = o_orderkey
 LINES_SQL = "lines AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _LINE.items()) + (
     f" FROM {_LINE_FROM})"
 )
-LINE_ORDER = ["a", "b", "c", "d"]
+#: Lines that still tie agree in every column that records are made of.
+LINE_ORDER = ["a", "b", "c", "d", "title_1", "title_2", "title_3", "title_4"]
 
 
 _LINE_ITEM = [
