@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.llm._graph import connected_components
-from thicket.llm._store import shared_folder, stored
+from thicket.llm._store import shared_folder, stored, tidy
 from thicket.llm._text import chunks, merge_counts, mix64, shingle_hashes, word_bounds, word_hashes
 
 SHINGLE = 3
@@ -141,7 +141,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             yield met_often(held, id_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sid long, kind int")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n long, sid long, kind int")
 
 
 def _counted(held: list[np.ndarray], waiting: list[np.ndarray]) -> list[np.ndarray]:
@@ -188,7 +188,7 @@ def _listed(docs: DataFrame, size: int, boundary: int, frequent: tuple[np.ndarra
             if own:
                 yield pa.record_batch([pa.array(np.zeros(len(own), np.int64)), pa.array(own, pa.int64()), pa.array(np.full(len(own), 3, np.int32)), pa.array(counts, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "key long, sid long, role int, histogram binary")
+    return docs.mapInArrow(tidy(run), "key long, sid long, role int, histogram binary")
 
 
 def _subsets(elements: np.ndarray, small: int, large: int) -> np.ndarray:
@@ -302,7 +302,7 @@ def _by_cell(cells: DataFrame, value: str, compare, schema: str) -> DataFrame:
         yield from cell(waiting)
 
     cells = cells.select("hub", "i", "j", "sid", "block", value)
-    return cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, schema)
+    return cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(tidy(run), schema)
 
 
 def _survivors(sids: np.ndarray, histograms: list[bytes], side: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -362,7 +362,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(data, pa.binary())], names=["sid", "elements"])
 
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("want", "text")
-    sets = texts.mapInArrow(only_sets, "sid long, elements binary").dropDuplicates(["sid"])
+    sets = texts.mapInArrow(tidy(only_sets), "sid long, elements binary").dropDuplicates(["sid"])
     heavy = _by_cell(_cells(members).join(sets, "sid"), "elements", _edges, "a long, b long")
 
     found = connected_components(light.union(heavy), f"{folder}/components")

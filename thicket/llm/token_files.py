@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm._store import read_range, shared_folder, stored, write_bytes
+from thicket.llm._store import read_range, shared_folder, stored, tidy, write_bytes
 from thicket.llm._text import chunks, word_bounds, word_hashes
 
 SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                 columns = [batch.column(k).slice(lo, hi - lo) for k in range(len(others))]
                 yield pa.record_batch([*columns, pa.array(rows, pa.binary()), pa.array(np.diff(where))], names=[*others, "ids", "n_tokens"])
 
-    return docs.select(*others, "text").mapInArrow(run, f"{schema}, ids binary, n_tokens long")
+    return docs.select(*others, "text").mapInArrow(tidy(run), f"{schema}, ids binary, n_tokens long")
 
 
 def range_of(docs: DataFrame, id_col: str = "doc_id", docs_per_file: int = DOCS_PER_FILE) -> tuple[Column, int]:
@@ -271,7 +271,7 @@ def read(index: DataFrame, folder: str, tokenizer: str) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(data, pa.binary())], names=[*names, "ids"])
 
     schema = ", ".join(f"`{c}` {index.schema[c].dataType.simpleString()}" for c in names)
-    return index.mapInArrow(run, f"{schema}, ids binary")
+    return index.mapInArrow(tidy(run), f"{schema}, ids binary")
 
 
 def starts(index: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def checksums(rows: DataFrame, kind: np.dtype) -> DataFrame:
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{schema}, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"{schema}, ids_crc32 long")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
