@@ -155,6 +155,34 @@ def test_numbering_of_a_hot_key(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_numbering_of_ties_and_null_keys(spark):
+    """Ties are numbered the same way in every layout; null keys keep their rows."""
+    rows = [(None if i % 3 else "a", i % 5, f"r{i}") for i in range(60)]
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = spark.createDataFrame(rows[:: 1 if parts == "1" else -1], "k string, pos long, t string")
+        seen.append(sorted((r["k"] or "", r["n"], r["t"]) for r in numbered(df, ["k"], ["pos"], "n").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+    assert [n for k, n, _ in seen[0] if k == ""] == list(range(1, 41))
+    assert [n for k, n, _ in seen[0] if k == "a"] == list(range(1, 21))
+
+
+def test_running_best_over_batches(spark):
+    rng = random.Random(11)
+    vectors = [(f"u{i:03d}", [rng.choice([-1.0, 0.5, 1.0]) for _ in range(3)]) for i in range(200)]
+    docs = spark.createDataFrame(vectors, "uri string, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(q, vectors[q][1]) for q in range(4)], "qid long, embedding array<float>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    for rows in ("7", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got.append({tuple(r) for r in S.vector_search(asked, docs, 5).collect()})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1] and len(got[0]) == 20
+
+
 def test_carried_over_buckets(spark):
     rng = random.Random(3)
     rows = [("d", i, rng.choice([None, i])) for i in range(500)]

@@ -273,16 +273,15 @@ def country_forms(spark, d):
 @query(
     "P20 P22",
     r"""SELECT doc_id, """
-    + _KEY_SQL.format("left(text, 200)")
+    + _KEY_SQL.format("text")
     + r""" AS key, array_to_string(list_transform(list_filter(string_split(
-    regexp_replace(left(text, 200), '[^A-Za-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> ''),
+    regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> ''),
     lambda w: upper(w[1]) || lower(w[2:])), '') AS camel FROM documents""",
 )
 def label_forms(spark, d):
-    """Accent-free keys and camel-case fragments of label-sized text (200 characters)."""
-    label = F.substring("text", 1, 200)
+    """Accent-free keys and camel-case fragments of whole texts."""
     return W.spread(W.load(spark, d, "documents")).select(
-        "doc_id", X.norm_country_key(label).alias("key"), X.camel(label).alias("camel")
+        "doc_id", X.norm_country_key("text").alias("key"), X.camel("text").alias("camel")
     )
 
 

@@ -25,7 +25,7 @@ from thicket.operators import thresholds as T
 from thicket.operators import triples as R
 from thicket.operators.containment import keyword_hits
 from thicket.plans import retrieve as P
-from thicket.session import materialise, small_side
+from thicket.session import materialise
 from thicket.sources.tables import index_rows, threshold_rows
 
 # -- plain documents --------------------------------------------------------
@@ -166,7 +166,7 @@ def document_context(spark, d):
     hits = _document_hits(spark, d).withColumnRenamed("rank", "n")
     texts = W.documents(spark, d)
     none = F.lit(None).cast("string")
-    full = texts.join(small_side(hits), "uri").withColumns(
+    full = texts.join(materialise(hits), "uri").withColumns(
         {c: none for c in ("country", "year", "scope", "org", "graph_context")}
     )
     return E.context_block(full)

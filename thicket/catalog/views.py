@@ -155,7 +155,7 @@ KG_SQL = f"""{BASE_SQL},
 kg0 AS ({_spec_sql(_CONCEPT_SPEC, "kgc")} UNION ALL {_spec_sql(_COUNTRY_SPEC, "kgn")}
         UNION ALL {_spec_sql(_TOP_SPEC, "kgs")}),
 colls AS (SELECT DISTINCT s FROM kg0 WHERE p = '{V.MEMBER}'),
-kg AS (SELECT * FROM kg0
+kg AS MATERIALIZED (SELECT * FROM kg0
        UNION ALL SELECT s, '{V.TYPE}', '{V.COLLECTION}', 'iri', NULL, NULL FROM colls
        UNION ALL SELECT s, '{V.PREF_LABEL}', 'Members of ' || replace(s, '{V.EX}', ''),
                         'literal', 'en', NULL FROM colls)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.session import small_side
+from thicket.session import materialise
 
 
 def contained_in(hay: DataFrame, needles: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def found_needles(needles: DataFrame, docs: DataFrame, keys: list[str]) -> DataF
     hash-partitioned by ``keys`` for whatever is computed from it.
     """
     rest = [c for c in docs.columns if c != "text"]
-    matches = small_side(run_needles(docs, needles))
+    matches = materialise(run_needles(docs, needles))
     tokens = docs.select(*rest, F.explode(letter_runs(F.col("text"))).alias("run"))
     others = [F.first(c).alias(c) for c in rest if c not in ("uri", "rid")]
     return (

@@ -38,13 +38,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     Rows are range-partitioned by (keys, order), so a hot key spreads over many
     partitions. Each partition numbers its own rows; the number of rows of a key
     in earlier partitions, one summary row per (key, partition), shifts them.
-    (keys, order) has to be unique and the keys non-null.
+    Rows that tie in (keys, order) share a partition and are ordered by a hash of
+    the whole row, so only equal rows can change places. Null is a key like any other.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = (
         df.repartitionByRange(parts, *keys, *order)
-        .sortWithinPartitions(*keys, *order)
+        .sortWithinPartitions(*keys, *order, F.xxhash64(*df.columns))
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_id", 33))
     )
@@ -57,11 +58,22 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
         *keys, "_part",
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
     )
-    return laid.join(runs, [*keys, "_part"]).select(
+    return _null_safe_join(laid, runs, [*keys, "_part"], ["_shift"]).select(
         *df.columns, (F.col("_id") + F.col("_shift")).alias(name)
     )
 
 
+def _null_safe_join(
+    left: DataFrame, right: DataFrame, keys: list[str], wanted: list[str]
+) -> DataFrame:
+    """``left`` with the ``wanted`` columns of ``right``; nulls are equal."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *wanted)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(named, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def carried(
     df: DataFrame, key: str, pos: str, states: dict[str, Column], rows: int = 50_000
 ) -> DataFrame:
@@ -80,7 +92,7 @@ def carried(
         Window.unboundedPreceding, 0
     )
     return (
-        bucketed.join(heads, [key, "_bucket"])
+        _null_safe_join(bucketed, heads, [key, "_bucket"], [f"_in_{n}" for n in names])
         .withColumns({n: F.greatest(F.max(n).over(upto), F.col(f"_in_{n}")) for n in names})
         .drop("_bucket", *[f"_in_{n}" for n in names])
     )

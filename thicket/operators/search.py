@@ -16,7 +16,7 @@ from thicket.functions import questions as Q
 from thicket.functions import text as X
 from thicket.operators.containment import found_needles
 from thicket.operators.ordering import dedupe_best, first_n, top_k
-from thicket.session import small_side
+from thicket.session import materialise
 
 # task code travels with the job, so executors need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -111,39 +111,30 @@ def keyword_rows(questions: DataFrame) -> DataFrame:
     )
 
 
-MAX_VARIANTS = 1000
-
-
 def row_id() -> Column:
     """Names one label and definition row of a concept."""
     return F.substring(F.md5(F.concat_ws("\u001f", "label", "definition")), 1, 16)
 
 
-def _partition_keys(concepts: DataFrame) -> list[str]:
-    """Keep a concept's rows together unless one has more rows than a task should hold."""
-    most = concepts.groupBy("uri").count().agg(F.max("count")).first()[0] or 0
-    return ["uri"] if most <= MAX_VARIANTS else ["uri", "rid"]
-
-
 def keyword_scores(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     """R1 before the cut: (qid, uri, rid, score) of every concept row with a keyword.
 
-    Concept rows stay hash-partitioned by uri from the needles found to the
-    score, so the pairs of questions and concepts are made, filtered, reduced
-    and cut to the best k of each task before anything is shuffled again. The
+    Concept rows stay hash-partitioned by (uri, rid) from the needles found to
+    the score, so the pairs of questions and concepts are made, filtered and
+    reduced before anything is shuffled again. The
     filter columns belong to the uri and are grouped by, which keeps the buffers
     plain numbers.
     """
     questions = _with_missing(questions, {"concept": "string", "scope": "string", "org": "string"})
     concepts = _with_missing(concepts, FILTER_COLUMNS)
-    asked = small_side(keyword_rows(questions))
+    asked = materialise(keyword_rows(questions))
     docs = concepts.select(
         "uri",
         row_id().alias("rid"),
         *FILTER_COLUMNS,
         F.concat_ws(" ", "label", "definition").alias("text"),
     )
-    found = found_needles(asked.select("needle"), docs, _partition_keys(concepts))
+    found = found_needles(asked.select("needle"), docs, ["uri", "rid"])
     pairs = (
         found.select("uri", *FILTER_COLUMNS, F.explode("found").alias("f"))
         .select("uri", "f.rid", "f.needle", *FILTER_COLUMNS)
@@ -157,7 +148,7 @@ def keyword_scores(questions: DataFrame, concepts: DataFrame) -> DataFrame:
         )
         .filter(F.col("hits") > 0)
     )
-    filters = small_side(questions.select("qid", "concept", "scope", "org"))
+    filters = materialise(questions.select("qid", "concept", "scope", "org"))
     org = F.col("org")
     bonus = (
         F.col("concept_hit") * F.lit(0.2)
@@ -189,7 +180,7 @@ def keyword_search(questions: DataFrame, concepts: DataFrame, k: int = 10) -> Da
         .agg(F.max(F.struct("score", "rid")).alias("b"))
         .select("qid", "uri", "b.*")
     )
-    hits = small_side(top_k(best, k))
+    hits = materialise(top_k(best, k))
     fields = concepts.select(
         "uri",
         row_id().alias("rid"),
@@ -230,13 +221,20 @@ def _best_pairs(qids: np.ndarray, queries: np.ndarray, docs: pd.DataFrame, k: in
     )
 
 
+def _best_of(best: pd.DataFrame, more: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of two lists for each query, the smaller uri on a tie."""
+    both = pd.concat([best, more], ignore_index=True)
+    both = both.sort_values(["qid", "cosine", "uri"], ascending=[True, False, True])
+    return both.groupby("qid", sort=False).head(k)
+
+
 def vector_candidates(
     query_vecs: DataFrame, docs: DataFrame, k: int, max_queries: int = BLOCK
 ) -> DataFrame:
     """(qid, uri, cosine) holding the k nearest documents of every query.
 
     Few queries (counted) travel to the documents, which stay where they are;
-    each Arrow batch gives at most k rows per query. More queries than that meet
+    each task gives at most k rows per query. More queries than that meet
     the documents in a grid of bounded blocks instead.
     """
     queries = query_vecs.select("qid", "embedding")
@@ -252,9 +250,13 @@ def vector_candidates(
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, matrix = shared.value
+            best = None
             for batch in batches:
                 if len(batch):
-                    yield _best_pairs(qids, matrix, batch, k)
+                    pairs = _best_pairs(qids, matrix, batch, k)
+                    best = pairs if best is None else _best_of(best, pairs, k)
+            if best is not None:
+                yield best
 
         return docs.mapInPandas(nearest, schema)
     return _grid_candidates(queries, docs, k, max_queries, schema)

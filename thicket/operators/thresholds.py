@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket import vocab as V
@@ -15,7 +15,7 @@ from thicket.operators.countries import (
 )
 from thicket.operators.ordering import dedupe_best, first_n, numbered, top_k
 from thicket.operators.triples import TEXT_LANGS, lang_in, match, members
-from thicket.session import small_side
+from thicket.session import materialise
 
 PROPERTIES = {
     "minArea": "minAreaHa", "maxArea": "maxAreaHa",
@@ -69,7 +69,7 @@ def country_thresholds(names: DataFrame, triples: DataFrame) -> DataFrame:
     asked = names.select("name").distinct().withColumn("hay", F.lower("name"))
     labels = country_names(triples).withColumn("key", F.lower("country"))
     found = exact_else_contains(asked, labels, both_ways=False)
-    places = small_side(
+    places = materialise(
         asked.join(found, "hay").join(labels, "key").select("name", "country_uri", "country")
     )
     rows = criteria(triples).join(places, "country_uri")
@@ -106,8 +106,13 @@ def best_per_country(rows: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "b.*")
 
 
-def continent_thresholds(triples: DataFrame, continents: DataFrame | None = None, k: int = 60):
-    """Per continent its countries' richest concepts, best ``k``.
+CONTINENT_ROWS = 60
+
+
+def continent_thresholds(
+    triples: DataFrame, continents: DataFrame | None = None, k: int | None = CONTINENT_ROWS
+):
+    """Per continent its countries' richest concepts, best ``k`` (all: None).
 
     ``score`` is min(richness / 3, 1).
     """
@@ -118,6 +123,9 @@ def continent_thresholds(triples: DataFrame, continents: DataFrame | None = None
     best = best_per_country(rows, ["continent", "country"]).withColumn(
         "score", F.least(F.col("richness") / 3, F.lit(1.0))
     )
+    if k is None:  # one row for each country of the continent
+        order = Window.partitionBy("continent").orderBy(F.col("richness").desc(), "country")
+        return best.withColumn("rank", F.row_number().over(order))
     return top_k(best, k, "richness", ["country"], "continent")
 
 
@@ -165,13 +173,13 @@ def graph_context(uris: DataFrame, triples: DataFrame) -> DataFrame:
     five of them are never the concept itself, so the children of a large parent
     are cut before they meet its concepts.
     """
-    asked = small_side(uris.select("uri").distinct())
+    asked = materialise(uris.select("uri").distinct())
     own = triples.filter(
         F.col("p").isin(V.BROAD_MATCH, V.RELATED, V.EXACT_MATCH, *[V.EX + n for n in V.NUMERIC_PROPERTIES])
     ).join(asked, F.col("s") == F.col("uri")).select("uri", "p", "o")
 
     parents = own.filter(F.col("p") == V.BROAD_MATCH).select("uri", F.col("o").alias("parent"))
-    parent_keys = small_side(parents.select("parent").distinct())
+    parent_keys = materialise(parents.select("parent").distinct())
     all_children = match(triples, p=V.BROAD_MATCH).select(
         F.col("o").alias("parent"), F.col("s").alias("child")
     ).distinct()
@@ -186,7 +194,7 @@ def graph_context(uris: DataFrame, triples: DataFrame) -> DataFrame:
         own.filter(F.col("p") == V.RELATED).select("uri", F.col("o").alias("peer")).distinct(),
         ["uri"], ["peer"], 3,
     )
-    named = small_side(
+    named = materialise(
         parent_keys.select(F.col("parent").alias("s"))
         .unionByName(brothers.select(F.col("child").alias("s")))
         .unionByName(related.select(F.col("peer").alias("s")))
@@ -259,14 +267,23 @@ def insert_after_first(hits: DataFrame, extra: DataFrame) -> DataFrame:
     return numbered(both, ["qid"], ["slot", "place", "sub", "uri"], "n").drop("slot", "place", "sub")
 
 
+#: Countries that a question names, and hits that lend theirs.
+NAMED_COUNTRIES, LENDING_HITS = 10, 3
+
+
 def enrichment_countries(
-    filters: DataFrame, hits: DataFrame, triples: DataFrame, thresholds: DataFrame
+    filters: DataFrame,
+    hits: DataFrame,
+    triples: DataFrame,
+    thresholds: DataFrame,
+    named_countries: int = NAMED_COUNTRIES,
+    lending_hits: int = LENDING_HITS,
 ) -> DataFrame:
     """(qid, name, place): the countries whose thresholds each question gets.
 
-    The continent's countries that pass the threshold, unless countries are
-    given; else those given or named in the question, at most ten; else those of
-    the first three hits.
+    All of the continent's countries that pass the threshold, unless countries are
+    given; else the first ``named_countries`` of those given or named in the
+    question; else those of the first ``lending_hits`` hits.
     """
     asked = filters.filter(
         Q.is_threshold_question("query") | F.col("continent").isNotNull()
@@ -274,7 +291,7 @@ def enrichment_countries(
     by_continent = F.col("continent").isNotNull() & ~F.col("listed")
 
     regional = asked.filter(by_continent)
-    candidates = continent_thresholds(triples, regional)
+    candidates = continent_thresholds(triples, regional, None)
     first = (
         regional.select("qid", "continent", "threshold")
         .join(candidates, "continent")
@@ -287,11 +304,11 @@ def enrichment_countries(
     mentioned = countries_in_question(
         asked.filter(~by_continent & ~F.col("listed")), thresholds
     ).select("qid", F.col("country").alias("name"), F.col("pos").cast("long").alias("place"))
-    named = first_n(given.unionByName(mentioned), ["qid"], ["place", "name"], 10)
+    named = first_n(given.unionByName(mentioned), ["qid"], ["place", "name"], named_countries)
     chosen = first.unionByName(named.select("qid", "name", "place"))
     missed = asked.select("qid").join(chosen.select("qid").distinct(), "qid", "left_anti")
     from_hits = (
-        hits.filter((F.col("rank") <= 3) & (F.coalesce("country", F.lit("")) != ""))
+        hits.filter((F.col("rank") <= lending_hits) &(F.coalesce("country", F.lit("")) != ""))
         .join(missed, "qid", "left_semi")
         .groupBy("qid", F.col("country").alias("name"))
         .agg(F.min("rank").cast("long").alias("place"))
@@ -308,7 +325,7 @@ def enrich_thresholds(
     hits. A country without any concept gets its threshold-table text instead.
     Every concept of the result, found or added, gets its graph context.
     """
-    asked = small_side(enrichment_countries(filters, hits, triples, thresholds))
+    asked = materialise(enrichment_countries(filters, hits, triples, thresholds))
     names = asked.select("name").distinct()
     concepts = country_thresholds(names, triples)
     rows = asked.join(concepts, "name")

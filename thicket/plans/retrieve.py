@@ -11,14 +11,14 @@ from thicket.functions import text as X
 from thicket.operators import search as S
 from thicket.operators import thresholds as T
 from thicket.operators.triples import concept_rows
-from thicket.session import materialise, small_side
+from thicket.session import materialise
 
 FIELDS = ["text", "label", "definition", "country", "year", "scope", "org"]
 
 
 def vector_hits(questions: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """R2/R3 with the fields of the documents found; no index rows, no hits."""
-    found = small_side(S.vector_search(questions, index, k))
+    found = materialise(S.vector_search(questions, index, k))
     return index.select("uri", *FIELDS).join(found, "uri")
 
 
@@ -102,7 +102,7 @@ def planned_retrieve(
         .withColumn("cid", F.concat_ws(":", "qid", "call"))
     )
     searches = calls.filter(F.col("tool") == "sparql_search")
-    owners = small_side(searches.select("cid", F.col("qid").alias("owner"), "call"))
+    owners = materialise(searches.select("cid", F.col("qid").alias("owner"), "call"))
     by_call = searches.withColumn("qid", F.col("cid")).drop("cid", "call", "tool")
     found = S.filtered_search(by_call, materialise(concept_rows(triples)), k)
     kw = found.join(owners, found["qid"] == owners["cid"]).select(

@@ -1,11 +1,11 @@
-"""Session construction and the shared checkpoint folder."""
+"""Session construction and the shared folder for stored intermediates."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -46,19 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once as Parquet in the shared folder and read back.
 
-
-BROADCAST_ROWS = 200_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` written once, and marked for broadcast only if counted below ``max_rows``.
-
-    Beyond the bound the join is left to the planner, which shuffles both sides
-    and splits skewed partitions.
+    Cuts the lineage; what is read back can be pruned, and its size is known to
+    the planner, which broadcasts it only within its own limit.
     """
-    df = materialise(df)
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
