@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from thicket import schemas as M
+from thicket import vocab as V
+from thicket.operators.search import org_filter
 from thicket.operators.thresholds import richness
+from thicket.operators.triples import concept_rows
 from thicket.sources import tables as S
 
 TABLE = os.environ.get("THICKET_THRESHOLD_FILE", "")
@@ -42,3 +45,30 @@ def test_triple_escapes(spark, tmp_path):
 def test_unicode_escape(spark):
     lines = spark.createDataFrame([(r'<http://a/x> <http://a/p> "café \'s"@fr .',), ("# note",)], "value string")
     assert [r["o"] for r in S.parse_triples(lines).collect()] == ["café 's"]
+
+
+def test_rejected_lines(spark):
+    good = '<http://a/x> <http://a/p> "" .'
+    bad = {
+        '<http://a/x> <http://a/p> "a"': "no closing dot",
+        'x <http://a/p> "a" .': "subject is no IRI or blank node",
+        '<http://a/x> p "a" .': "predicate is no IRI",
+        '<http://a/x> <http://a/p> "a .': "object does not parse",
+    }
+    lines = spark.createDataFrame([(t,) for t in (good, "", "  # note", *bad)], "value string")
+    assert {r["value"]: r["reason"] for r in S.rejected_lines(lines).collect()} == bad
+    assert [r["o"] for r in S.parse_triples(lines).collect()] == [""]
+
+
+def test_every_label_of_a_concept_is_searched(spark):
+    rows = [
+        ("http://a/x", V.TYPE, V.CONCEPT, "iri", None, None),
+        ("http://a/x", V.PREF_LABEL, "one", "literal", "en", None),
+        ("http://a/x", V.PREF_LABEL, "two", "literal", "en", None),
+        ("http://a/x", V.DEFINITION, "text", "literal", "en", None),
+        ("http://a/x", V.CREATOR, "Some Office (XYZ)", "literal", None, None),
+    ]
+    found = concept_rows(spark.createDataFrame(rows, M.TRIPLE))
+    assert sorted(r["label"] for r in found.collect()) == ["one", "two"]
+    assert found.filter(org_filter(F.lit("xyz"))).count() == 2
+    assert found.filter(org_filter(F.lit("abc"))).count() == 0

@@ -224,7 +224,8 @@ _INDEX = f"""doc AS (SELECT cone.uri, coalesce(min(label) FILTER (lang = 'en'),
         nullif(concat_ws(' | ', CASE WHEN country <> '' THEN 'Country: ' || country END,
           CASE WHEN year <> '' THEN 'Year: ' || year END, CASE WHEN org <> '' THEN 'Organization: ' || org END), ''),
         CASE WHEN scope <> '' THEN 'Scope: ' || scope END) AS text
-      FROM dfull JOIN (SELECT vec_id, embedding FROM embeddings) ON uri = '{V.EX}C_' || vec_id),
+      FROM dfull LEFT JOIN (SELECT vec_id, embedding FROM embeddings) ON uri = '{V.EX}C_' || vec_id),
+    idxv AS (SELECT * FROM idx WHERE v IS NOT NULL),
     qv AS (SELECT qid, cast(embedding AS DOUBLE[]) AS v FROM ask
       JOIN embeddings ON vec_id = qid % 1000000 + 25 * (qid // 1000000))"""
 
@@ -259,7 +260,7 @@ def index_table(spark, d):
 
 @query(
     "R3",
-    _ASK_KG + "," + _INDEX + "," + vector_cte("qv", "idx", 12)
+    _ASK_KG + "," + _INDEX + "," + vector_cte("qv", "idxv", 12)
     + " SELECT qid, uri, score, rank, text FROM vechits JOIN idx USING (uri)",
 )
 def vector_only_hits(spark, d):
@@ -290,7 +291,7 @@ _BOOST = """wanted AS (SELECT qid, unnest([concept, org, scope, continent]) AS v
 _HYBRID = (
     W.with_sql(
         W.KG_SQL, W.ASK_SQL, W.T3_SQL, W.TS_SQL, _KEYS_SQL, filters_cte("ask"), keywords_cte("ask"),
-        _CONCEPT_ROWS, INVENTORY_SQL, scored_cte(36, True), _INDEX, vector_cte("qv", "idx", 36), _RRF,
+        _CONCEPT_ROWS, INVENTORY_SQL, scored_cte(36, True), _INDEX, vector_cte("qv", "idxv", 36), _RRF,
         ranked("fused", 36, "cut3"), _FUSED_FIELDS, _BOOST, ranked("boosted", 12, "hits"),
     )
 )
@@ -564,7 +565,7 @@ _PLANNED = (
         W.KG_SQL, W.T3_SQL, W.TS_SQL, _KEYS_SQL, W.TEXTS_SQL, _PLANS,
         "ask AS (SELECT qid, query FROM planned)", filters_cte("ask"),
         keywords_cte("(SELECT qid, query FROM calls WHERE tool = 'sparql_search')"), _CONCEPT_ROWS,
-        scored_cte(8, True), _INDEX, vector_cte("qv", "idx", 8),
+        scored_cte(8, True), _INDEX, vector_cte("qv", "idxv", 8),
     ).rstrip()
     + """,
     kwc AS (SELECT c.qid, c.call, k.rank, k.uri, 'Term: ' || coalesce(r.label, '') || ' - ' || r.definition AS text, coalesce(r.label, '') AS label,

@@ -300,7 +300,7 @@ _ORD = ", ".join(f"'{p}'" for p in V.LITERAL_ORDER)
 )
 def display_literals(spark, d):
     rows = T.literals(W.kg_triples(spark, d)).withColumn("ord", F.col("ord").cast("int"))
-    return rows.orderBy("uri", "ord", "value").select("uri", "predicate", "value", "ord", "shown")
+    return rows.select("uri", "predicate", "value", "ord", "shown")
 
 
 @query(
@@ -347,6 +347,30 @@ def triples_read_back(spark, d):
     return S.parse_triples(S.triple_lines(W.kg_triples(spark, d)))
 
 
+@query(
+    "S3",
+    KG
+    + f"""SELECT reason, count(*) AS lines FROM (SELECT CASE WHEN {_p(V.PREF_LABEL)} THEN 'no closing dot'
+    WHEN {_p(V.DATE)} THEN 'predicate is no IRI' WHEN {_p(V.NOTATION)} THEN 'object does not parse' END AS reason
+    FROM kg) WHERE reason IS NOT NULL GROUP BY reason""",
+)
+def rejected_triple_lines(spark, d):
+    """Lines of three predicates damaged in a way of their own, counted by the reason found."""
+    value = F.col("value")
+
+    def has(predicate):
+        return F.contains(value, F.lit(f" <{predicate}> "))
+
+    damaged = (
+        F.when(has(V.PREF_LABEL), F.regexp_replace(value, r" \.$", ""))
+        .when(has(V.DATE), F.replace(value, F.lit(f"<{V.DATE}>"), F.lit(V.DATE)))
+        .when(has(V.NOTATION), F.regexp_replace(value, r'" \.$', " ."))
+        .otherwise(value)
+    )
+    lines = S.triple_lines(W.kg_triples(spark, d)).select(damaged.alias("value"))
+    return S.rejected_lines(lines).groupBy("reason").agg(F.count("*").alias("lines"))
+
+
 @query(
     "S11",
     W.with_sql(W.KG_SQL)

@@ -9,6 +9,7 @@ from thicket import vocab as V
 from thicket.functions import questions as Q
 from thicket.functions import text as X
 from thicket.operators.containment import contained_in, near_names
+from thicket.session import materialise
 
 # -- country mentions in notes ----------------------------------------------
 
@@ -103,7 +104,7 @@ def resolve_country(names: DataFrame, countries: DataFrame, edits: int = 2) -> D
     alias = F.coalesce(
         *[F.when(F.lower(bare) == F.lit(k), F.lit(v)) for k, v in V.COUNTRY_ALIASES.items()], bare
     )
-    asked = (
+    asked = materialise(  # the distinct names feed every branch below
         names.select("raw").filter(listed).distinct().withColumn("hay", F.lower(alias))
     )
     ref = countries.select("iso3", "name", "alpha2", "ord")

@@ -25,7 +25,7 @@ FILTER_COLUMNS = {
     "parents": "array<string>",
     "scopes": "array<string>",
     "orgs": "array<string>",
-    "creator_orgs": "array<string>",
+    "creators": "array<string>",
     "has_creator": "boolean",
 }
 CONCEPT_FIELDS = ["label", "definition", "country", "year", "scope", "org"]
@@ -57,9 +57,9 @@ def member_or_unclassified(scope: Column, scopes: Column) -> Column:
 
 
 def org_match(org: Column) -> Column:
-    """Member of the organisation's collection, or named by a creator."""
+    """Member of the organisation's collection, or its key is in a creator (lower-cased)."""
     return F.coalesce(F.array_contains("orgs", org), F.lit(False)) | F.coalesce(
-        F.array_contains("creator_orgs", org), F.lit(False)
+        F.exists("creators", lambda c: F.contains(c, F.lower(org))), F.lit(False)
     )
 
 

@@ -62,10 +62,12 @@ def unpivot_terms(
     """All terms of each row as triples, in one pass over ``df``.
 
     ``single`` are structs, ``lists`` arrays of structs, made by the helpers above.
+    A row gives no triple twice, so rows with subjects of their own need no
+    further distinct.
     """
     arrays = [F.array(*single), *lists] if single else list(lists)
     own = _c(subject).alias("_own")
-    out = df.select(own, F.explode(F.concat(*arrays)).alias("t")).select(
+    out = df.select(own, F.explode(F.array_distinct(F.concat(*arrays))).alias("t")).select(
         F.coalesce("t.s", "_own").alias("s"), "t.p", "t.o", "t.o_kind", "t.lang", "t.dtype"
     )
     return out.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
@@ -237,7 +239,6 @@ def related_links(pairs: DataFrame, concepts: DataFrame) -> DataFrame:
 
 # -- concept rows -----------------------------------------------------------
 
-ORG_KEYS = [key for _, key in V.ORG_PATTERNS]
 TEXT_LANGS = ["en", "fr", ""]
 
 
@@ -245,20 +246,18 @@ def _value(predicate: str) -> Column:
     return F.when(F.col("p") == predicate, F.col("o"))
 
 
-def concept_fields(triples: DataFrame, org_keys: list[str] | None = None) -> DataFrame:
+def concept_fields(triples: DataFrame) -> DataFrame:
     """One row per concept: a label per text language, scalars and filter columns.
 
     One aggregation over the triples of interest. Fields with several values
-    take the smallest; of creators only the known organisations they name are
-    kept, so the buffers do not grow with the number of triples of a concept.
+    take the smallest; parents and creators are kept whole, as questions may
+    ask for any of them.
     """
-    org_keys = org_keys or ORG_KEYS
     lang = F.coalesce("lang", F.lit(""))
     wanted = [V.TYPE, V.PREF_LABEL, V.SPATIAL, V.DATE, V.CREATOR, V.SCOPE_NOTE, V.BROAD_MATCH]
     rows = triples.filter(F.col("p").isin(wanted)).filter(
         (F.col("p") != V.TYPE) | (F.col("o") == V.CONCEPT)
     )
-    creator = F.lower(_value(V.CREATOR))
     aggregates = [
         F.max(F.col("p") == V.TYPE).alias("is_concept"),
         *[
@@ -273,16 +272,13 @@ def concept_fields(triples: DataFrame, org_keys: list[str] | None = None) -> Dat
         F.min(_value(V.CREATOR)).alias("org"),
         F.max(F.col("p") == V.CREATOR).alias("has_creator"),
         F.collect_set(F.lower(X.local_name(_value(V.BROAD_MATCH)))).alias("parents"),
-        *[F.max(F.contains(creator, F.lit(k.lower()))).alias(f"org_{k}") for k in org_keys],
+        F.sort_array(F.collect_set(F.lower(_value(V.CREATOR)))).alias("creators"),
     ]
     grouped = rows.groupBy(F.col("s").alias("uri")).agg(*aggregates).filter("is_concept")
     return grouped.select(
         "uri",
         F.array_compact(F.array(*[F.col(f"label_{t}") for t in TEXT_LANGS])).alias("labels"),
-        "country_uri", "year", "scope", "org", "has_creator", "parents",
-        F.array_compact(
-            F.array(*[F.when(F.col(f"org_{k}"), F.lit(k)) for k in org_keys])
-        ).alias("creator_orgs"),
+        "country_uri", "year", "scope", "org", "has_creator", "parents", "creators",
     )
 
 
@@ -309,23 +305,28 @@ def country_labels(triples: DataFrame) -> DataFrame:
     return countries.groupBy(F.col("uri").alias("country_uri")).agg(F.min("o").alias("country"))
 
 
-def concept_rows(triples: DataFrame, org_keys: list[str] | None = None) -> DataFrame:
+def concept_rows(triples: DataFrame) -> DataFrame:
     """(uri, label, definition, …): the rows that keyword search scores.
 
-    A concept has one row per definition and label language; concepts without a
-    definition have none.
+    A concept has one row per definition and label in a text language, also
+    where a language has several labels; concepts without a definition have none.
     """
     definitions = (
         match(triples, p=V.DEFINITION).select(F.col("s").alias("uri"), F.col("o").alias("definition"))
         .distinct()
     )
+    labels = (
+        match(triples, p=V.PREF_LABEL).filter(lang_in("lang", TEXT_LANGS))
+        .select(F.col("s").alias("uri"), F.col("o").alias("label"))
+        .distinct()
+    )
     return (
-        concept_fields(triples, org_keys)
+        concept_fields(triples)
+        .drop("labels")
         .join(definitions, "uri")
         .join(collection_keys(triples), "uri", "left")
+        .join(labels, "uri", "left")
         .join(country_labels(triples), "country_uri", "left")
-        .select("*", F.explode_outer("labels").alias("label"))
-        .drop("labels")
     )
 
 

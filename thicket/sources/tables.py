@@ -142,25 +142,50 @@ def _unescape(col: Column) -> Column:
     return F.when(F.contains(col, F.lit("\\")), F.coalesce(plain, col)).otherwise(col)
 
 
+SEP = "\u001f"
+FIELDS = SEP + SEP.join(f"${i}" for i in (1, 2, 3, 4, 5, 7, 8, 6))
+
+
 def parse_triples(lines: DataFrame) -> DataFrame:
-    """S3 after the scan: ``value`` lines to triples; comments and blanks are left out."""
+    """S3 after the scan: ``value`` lines to triples; comments and blanks are left out.
+
+    The pattern runs once per line, which it rewrites into separated fields with
+    the literal's text last. Lines that are no triples are in ``rejected_lines``.
+    """
     value = F.col("value")
+    cut = F.split(F.regexp_replace(value, LINE, FIELDS), SEP, 9)
+    rows = lines.filter(~value.startswith(SEP)).select(cut.alias("f")).filter(
+        (F.size("f") == 9) & (F.get("f", 0) == "")
+    )
 
-    def group(i: int) -> Column:
-        return X.blank_to_null(F.regexp_extract(value, LINE, i))
+    def field(i: int) -> Column:
+        return X.blank_to_null(F.get("f", i))
 
-    is_literal = group(4).isNull() & group(5).isNull()
-    return lines.filter(value.rlike(LINE)).select(
-        F.coalesce(group(1), group(2)).alias("s"),
-        group(3).alias("p"),
-        F.when(is_literal, _unescape(F.regexp_extract(value, LINE, 6)))
-        .otherwise(F.coalesce(group(4), group(5))).alias("o"),
+    is_literal = field(4).isNull() & field(5).isNull()
+    return rows.select(
+        F.coalesce(field(1), field(2)).alias("s"),
+        field(3).alias("p"),
+        F.when(is_literal, _unescape(F.get("f", 8)))
+        .otherwise(F.coalesce(field(4), field(5))).alias("o"),
         F.when(is_literal, F.lit("literal")).otherwise(F.lit("iri")).alias("o_kind"),
-        F.when(is_literal, group(7)).alias("lang"),
-        F.when(is_literal, group(8)).alias("dtype"),
+        F.when(is_literal, field(6)).alias("lang"),
+        F.when(is_literal, field(7)).alias("dtype"),
     )
 
 
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """S3: (value, reason) of the lines that are neither triples nor comments nor blank."""
+    value = F.col("value")
+    reason = (
+        F.when(~value.rlike(r"\.\s*$"), F.lit("no closing dot"))
+        .when(~value.rlike(rf"^\s*(?:{NODE})\s"), F.lit("subject is no IRI or blank node"))
+        .when(~value.rlike(rf"^\s*(?:{NODE})\s+<[^>]*>\s"), F.lit("predicate is no IRI"))
+        .otherwise(F.lit("object does not parse"))
+    )
+    solid = lines.filter(~value.rlike(r"^\s*(#.*)?$") & ~value.rlike(LINE))
+    return solid.select("value", reason.alias("reason"))
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """S3: one triple per line, or a Parquet table written by ``write_triples``."""
     if path.rstrip("/").endswith((".parquet", ".pq")):
@@ -310,11 +335,14 @@ def extract_table(
 
 
 def index_rows(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Documents with their vector and its norm; ``embeddings`` is (uri, embedding)."""
+    """Documents with their vector and its norm; ``embeddings`` is (uri, embedding).
+
+    A document without a vector stays with nulls: keyword search finds it.
+    """
     norm = F.sqrt(
         F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     )
-    return documents.join(embeddings.select("uri", "embedding"), "uri").withColumn("norm", norm)
+    return documents.join(embeddings.select("uri", "embedding"), "uri", "left").withColumn("norm", norm)
 
 
 def write_index(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
