@@ -17,6 +17,8 @@ from thicket.llm.mixing import mixed
 from thicket.llm.quality import kept
 from thicket.llm.token_files import token_table
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects."""
@@ -24,8 +26,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return representatives(docs)
+    """One document of each group of near copies: texts whose sets of ``NEAR_WORDS`` words to a shingle are
+    alike by ``NEAR_PERCENT`` in a hundred or more. ``op6_jaccard_join`` has a rule of its own."""
+    return representatives(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

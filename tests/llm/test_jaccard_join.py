@@ -96,3 +96,59 @@ def test_boundary_follows_cost():
 def test_forest_spans_without_all_pairs():
     linked = np.ones((50, 50), bool)
     assert len(jj._forest(linked)[0]) == 49
+
+
+def linked(a, b, percent):
+    return 100 * len(a & b) >= percent * len(a | b) if a and b else False
+
+
+def sets_of(rows, size):
+    words = {d: WORD.findall((t or "").translate(FOLD)) for d, t in rows}
+    return {d: {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set() for d, w in words.items()}
+
+
+def planted(rng):
+    """Copies with a changed or added word, from short texts to long ones, some of them between the two rules."""
+    rows = []
+    for length in (5, 8, 9, 12, 13, 14, 15, 18, 20, 24, 29, 36, 44, 60, 150, 200):
+        for end in (0, 1, 2, 3):
+            base = [f"w{rng.randrange(10_000)}" for _ in range(length)]
+            tail = [f"x{rng.random()}" for _ in range(end * length // 16)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + tail)), (len(rows) + 2, " ".join(changed(rng, base, 1 + length // 60)))]
+    return rows
+
+
+@pytest.mark.parametrize(("size", "percent"), [(5, 80), (3, 90), (4, 75)])
+def test_words_and_threshold_are_parameters(spark, size, percent):
+    rows = planted(random.Random(11))
+    sets, least = sets_of(rows, size), {d: d for d, _ in rows}
+    for _ in range(4):  # as far as a chain of links can reach in a group of three
+        for a in least:
+            for b in least:
+                if linked(sets[a], sets[b], percent):
+                    least[a] = min(least[a], least[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.join(df, size=size, percent=percent).collect()}
+    assert got == {d: (len(sets[d]), least[d]) for d, _ in rows}
+    assert any(least[d] != d for d in least)
+
+
+def test_needed_overlap_at_any_threshold():
+    for percent in (75, 80, 90, 95, 100):
+        for s in range(1, 60):
+            for t in range(s, 85):
+                shared = [o for o in range(s + 1) if 100 * o >= percent * (s + t - o)]
+                assert (min(shared) if shared else None) == (jj.need(s, t, percent) if jj.need(s, t, percent) <= s else None)
+                assert bool(shared) == (s >= jj.least_partner(t, percent)) == (t <= s * 100 // percent)
+
+
+def test_pipeline_stage_drops_pair_between_the_rules(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, *(f"x{i}" for i in range(11))])), (3, " ".join(f"v{i}" for i in range(60)))]
+    three, five = sets_of(rows, 3), sets_of(rows, 5)
+    assert linked(five[1], five[2], 80) and not linked(three[1], three[2], 90)
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, df, "").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in jj.representatives(df).collect()) == [1, 2, 3]

@@ -1,7 +1,8 @@
 """Similarity join of word-shingle sets: a size-aware heavy-light join, and the components it makes.
 
-Sets link when 100 * intersection >= 90 * union, that is when they share at least
-``need(s, t) = ceil(9 (s + t) / 19)`` elements.
+Sets link when 100 * intersection >= percent * union, that is when they share at least
+``need(s, t) = ceil(percent (s + t) / (100 + percent))`` elements. Words in a shingle and ``percent`` are
+parameters; their defaults are 3 and 90.
 
 * Equal sets are one set (``sid``, a hash of the set) from the start, so copies cost nothing later.
 * *Light* pairs, whose smaller set has at most ``boundary`` elements: every set enumerates its subsets of
@@ -34,6 +35,7 @@ from thicket.llm._store import shared_folder, stored, tidy
 from thicket.llm._text import chunks, merge_counts, mix64, shingle_hashes, word_bounds, word_hashes
 
 SHINGLE = 3
+PERCENT = 90
 MAX_LIGHT = 32
 FREQUENT_ROWS = 100_000
 FREQUENT_LEAST = 8
@@ -44,39 +46,39 @@ COLUMNS = 4096
 LIST_COST = 12
 
 
-def need(s: int, t: int) -> int:
+def need(s: int, t: int, percent: int = PERCENT) -> int:
     """Elements that sets of sizes s and t have to share."""
-    return -(-9 * (s + t) // 19)
+    return -(-percent * (s + t) // (100 + percent))
 
 
-def least_partner(s: int) -> int:
+def least_partner(s: int, percent: int = PERCENT) -> int:
     """Size of the smallest set that a set of size s can link with."""
-    return -(-9 * s // 10)
+    return -(-percent * s // 100)
 
 
-def prefix(s: int) -> int:
+def prefix(s: int, percent: int = PERCENT) -> int:
     """How many of its rarest elements a set of size s is listed under."""
-    return s - least_partner(s) + 1
+    return s - least_partner(s, percent) + 1
 
 
-def subset_classes(s: int, boundary: int) -> list[tuple[int, int]]:
+def subset_classes(s: int, boundary: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """(smaller size, larger size) of the light pairs that a set of size s can be part of."""
-    own = [(s, t) for t in range(s, s * 10 // 9 + 1)] if s <= boundary else []
-    return own + [(t, s) for t in range(least_partner(s), min(s - 1, boundary) + 1)]
+    own = [(s, t) for t in range(s, s * 100 // percent + 1)] if s <= boundary else []
+    return own + [(t, s) for t in range(least_partner(s, percent), min(s - 1, boundary) + 1)]
 
 
-def choose_boundary(sizes: dict[int, int]) -> int:
+def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     """Largest light size, by the rows that subsets and inverted lists would make.
 
-    ``sizes``: number of distinct sets of each size up to ``MAX_LIGHT * 10 // 9``. A row of a list counts
+    ``sizes``: number of distinct sets of each size up to ``MAX_LIGHT * 100 // percent``. A row of a list counts
     ``LIST_COST`` times a row of a subset, because its set has to travel and to be compared.
     """
 
     def cost(boundary: int) -> int:
         total = 0
         for s, n in sizes.items():
-            total += n * sum(math.comb(s, need(a, b)) for a, b in subset_classes(s, boundary))
-            total += n * LIST_COST * prefix(s) * (s > boundary)
+            total += n * sum(math.comb(s, need(a, b, percent)) for a, b in subset_classes(s, boundary, percent))
+            total += n * LIST_COST * prefix(s, percent) * (s > boundary)
         return total
 
     return min(range(MAX_LIGHT + 1), key=lambda x: (cost(x), x))
@@ -152,7 +154,7 @@ def _counted(held: list[np.ndarray], waiting: list[np.ndarray]) -> list[np.ndarr
     return list(merge_counts([held[0], key[many]], [held[1], count[many]]))
 
 
-def _listed(docs: DataFrame, size: int, boundary: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _listed(docs: DataFrame, size: int, percent: int, boundary: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(key, sid, role, histogram): role 1 and 2 for subset keys of sets with the smaller and the larger
     size of their class, 0 for list keys, 3 for one row with the histogram of a listed set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_ROWS rows
@@ -167,8 +169,8 @@ def _listed(docs: DataFrame, size: int, boundary: int, frequent: tuple[np.ndarra
                 if not s or sid in met:
                     continue
                 met.add(sid)
-                for small, large in subset_classes(s, boundary):
-                    keys.append(_subsets(elements, small, large))
+                for small, large in subset_classes(s, boundary, percent):
+                    keys.append(_subsets(elements, small, large, percent))
                     sids.append(np.full(len(keys[-1]), sid))
                     roles.append(np.full(len(keys[-1]), 1 if s == small else 2, np.int32))
                 if s > boundary:
@@ -176,7 +178,7 @@ def _listed(docs: DataFrame, size: int, boundary: int, frequent: tuple[np.ndarra
                     if len(common):
                         at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
                         rank = np.where(common[at] == elements, often[at], 0)
-                    keys.append(elements[np.lexsort((elements, -length, rank))[: prefix(s)]])
+                    keys.append(elements[np.lexsort((elements, -length, rank))[: prefix(s, percent)]])
                     sids.append(np.full(len(keys[-1]), sid))
                     roles.append(np.zeros(len(keys[-1]), np.int32))
                     own.append(sid)
@@ -191,10 +193,10 @@ def _listed(docs: DataFrame, size: int, boundary: int, frequent: tuple[np.ndarra
     return docs.mapInArrow(tidy(run), "key long, sid long, role int, histogram binary")
 
 
-def _subsets(elements: np.ndarray, small: int, large: int) -> np.ndarray:
+def _subsets(elements: np.ndarray, small: int, large: int, percent: int) -> np.ndarray:
     """Hashes of all subsets of the size that the class needs: the sum of all elements less those left out."""
     mixed = mix64(elements)
-    left_out = len(elements) - need(small, large)
+    left_out = len(elements) - need(small, large, percent)
     if left_out < 0:
         return np.zeros(0, np.uint64)
     total = mixed.sum(keepdims=True) + np.uint64(small * 1_000_003 + large)
@@ -204,7 +206,7 @@ def _subsets(elements: np.ndarray, small: int, large: int) -> np.ndarray:
     return mix64(total - mixed[chosen].sum(axis=1, dtype=np.uint64))
 
 
-def _groups(lists: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
+def _groups(lists: DataFrame, sizes: DataFrame, percent: int, folder: str) -> DataFrame:
     """(hub, sid) of sets that share a list; the hub is the first set of the list.
 
     Lists with the same hub become one group, so a set belongs to few groups however many lists it is in.
@@ -215,7 +217,7 @@ def _groups(lists: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
     members = kept.join(first, "key").select("hub", "sid").distinct().join(sizes, "sid")
     members = stored(members, f"{folder}/members")
     extent = members.groupBy("hub").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
-    extent = extent.where("rows > 2 or rows = 2 and 9 * high <= 10 * low")
+    extent = extent.where(f"rows > 2 or rows = 2 and {percent} * high <= 100 * low")
     return members.join(extent.select("hub", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "hub")
 
 
@@ -236,7 +238,7 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links among sets; where both sides occur, of the links between them."""
     sizes = np.array([len(s) for s in sets])
     element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -252,14 +254,14 @@ def _links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.nda
         part = np.zeros((len(sets), min(COLUMNS, len(used) - lo)), np.float32)
         part[owner[i:j], column[i:j] - lo] = 1
         common += part @ part.T
-    linked = 190 * common.astype(np.int64) >= 90 * (sizes[:, None] + sizes[None, :])
+    linked = (100 + percent) * common.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :])
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
     return _forest(linked)
 
 
-def _may_link(histograms: list[bytes], side: np.ndarray) -> np.ndarray:
+def _may_link(histograms: list[bytes], side: np.ndarray, percent: int) -> np.ndarray:
     """Which sets may link with another of theirs (of the other side, where both sides occur)."""
     counts = [_counts(h) for h in histograms]
     width = min(map(len, counts))
@@ -269,7 +271,7 @@ def _may_link(histograms: list[bytes], side: np.ndarray) -> np.ndarray:
     both = side.any() and not side.all()
     for i in range(len(matrix) - 1):
         common = np.minimum(matrix[i], matrix[i + 1 :]).sum(axis=1)
-        found = 190 * common >= 90 * (sizes[i] + sizes[i + 1 :])
+        found = (100 + percent) * common >= percent * (sizes[i] + sizes[i + 1 :])
         if both:
             found &= side[i + 1 :] != side[i]
         if found.any():
@@ -284,12 +286,12 @@ def _cells(members: DataFrame) -> DataFrame:
     return placed.select("hub", "sid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
-def _by_cell(cells: DataFrame, value: str, compare, schema: str) -> DataFrame:
-    """``compare(sids, values, side)`` of each cell, whose rows lie together and in order in a partition."""
+def _by_cell(cells: DataFrame, value: str, compare, percent: int, schema: str) -> DataFrame:
+    """``compare(sids, values, side, percent)`` of each cell, whose rows lie together and in order in a partition."""
 
     def cell(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1 and (rows[0][1] == rows[0][2] or len({r[4] for r in rows}) == 2):
-            yield from compare(np.array([r[3] for r in rows]), [r[5] for r in rows], np.array([r[4] for r in rows]) != rows[0][1])
+            yield from compare(np.array([r[3] for r in rows]), [r[5] for r in rows], np.array([r[4] for r in rows]) != rows[0][1], percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
@@ -305,22 +307,22 @@ def _by_cell(cells: DataFrame, value: str, compare, schema: str) -> DataFrame:
     return cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(tidy(run), schema)
 
 
-def _survivors(sids: np.ndarray, histograms: list[bytes], side: np.ndarray) -> Iterator[pa.RecordBatch]:
-    found = sids[_may_link(histograms, side)]
+def _survivors(sids: np.ndarray, histograms: list[bytes], side: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    found = sids[_may_link(histograms, side, percent)]
     if len(found):
         yield pa.record_batch([pa.array(found)], names=["sid"])
 
 
-def _edges(sids: np.ndarray, data: list[bytes], side: np.ndarray) -> Iterator[pa.RecordBatch]:
-    a, b = _links([np.frombuffer(x, np.uint64) for x in data], side)
+def _edges(sids: np.ndarray, data: list[bytes], side: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    a, b = _links([np.frombuffer(x, np.uint64) for x in data], side, percent)
     if len(a):
         yield pa.record_batch([pa.array(sids[a]), pa.array(sids[b])], names=["a", "b"])
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, folder: str | None = None) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, folder: str | None = None, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles (size of its set), component_id (smallest id reachable by links).
 
-    Null, empty and blank texts have the empty set and link with nothing: their component is their own
+    Sets are of ``size`` words to a shingle, and link from a similarity of ``percent`` in a hundred on. Null, empty and blank texts have the empty set and link with nothing: their component is their own
     id. Rows with equal sets link. Null ids count for links but are never the smallest id while another
     is there. Repeated ids are rows of their own. An empty table gives no rows; other columns are not read.
     """
@@ -336,19 +338,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     own = signed.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     own = stored(own, f"{folder}/sets")
-    small = own.where(F.col("n") <= MAX_LIGHT * 10 // 9).groupBy("n").count().collect()  # at most as many rows as sizes
-    boundary = choose_boundary({r.n: r["count"] for r in small})
+    small = own.where(F.col("n") <= MAX_LIGHT * 100 // percent).groupBy("n").count().collect()  # at most as many rows as sizes
+    boundary = choose_boundary({r.n: r["count"] for r in small}, percent)
 
-    listed = stored(_listed(docs, size, boundary, frequent), f"{folder}/listed")
+    listed = stored(_listed(docs, size, percent, boundary, frequent), f"{folder}/listed")
     histograms = listed.where("role = 3").select("sid", "histogram")
     subsets = listed.where("role > 0").select("key", "sid", "role").distinct()
     hub = subsets.where("role = 1").groupBy("key").agg(F.min("sid").alias("hub"))
     light = subsets.join(hub, "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
 
-    members = _groups(listed.where("role = 0").select("key", "sid"), own.select("sid", "n"), folder)
+    members = _groups(listed.where("role = 0").select("key", "sid"), own.select("sid", "n"), percent, folder)
     members = stored(members, f"{folder}/grouped")
     sketched = histograms.join(members.select("sid").distinct(), "sid").dropDuplicates(["sid"])
-    may = _by_cell(_cells(members).join(sketched, "sid"), "histogram", _survivors, "sid long")
+    may = _by_cell(_cells(members).join(sketched, "sid"), "histogram", _survivors, percent, "sid long")
     may = stored(may.distinct(), f"{folder}/survivors")
     wanted = may.join(own, "sid").select("doc_id", F.col("sid").alias("want"))
 
@@ -363,7 +365,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("want", "text")
     sets = texts.mapInArrow(tidy(only_sets), "sid long, elements binary").dropDuplicates(["sid"])
-    heavy = _by_cell(_cells(members).join(sets, "sid"), "elements", _edges, "a long, b long")
+    heavy = _by_cell(_cells(members).join(sets, "sid"), "elements", _edges, percent, "a long, b long")
 
     found = connected_components(light.union(heavy), f"{folder}/components")
     label = signed.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -373,10 +375,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; of rows that agree in id
     and text, one. Documents without shingles stay, and so do null ids that link with no other id."""
-    heads = join(docs, size=size).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("head")).distinct()
+    heads = join(docs, size=size, percent=percent).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("head")).distinct()
     one = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))))
     return one.withColumn("nth_", nth).where("nth_ = 1").drop("nth_")
