@@ -59,3 +59,11 @@ def test_filter_keeps_other_rows(spark):
     d = spark.createDataFrame([(1, ITEM), (2, "clean"), (2, "clean"), (None, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert sorted((r.doc_id for r in dc.without_leaks(d, b).collect()), key=str) == [2, 2, None]
+
+
+def test_filter_goes_by_id_and_text(spark):
+    rows = [(None, ITEM, 1, "a"), (None, "a clean text without an id", 2, "b"), (5, "another clean text", 3, "c"), (5, ITEM + " And so on.", 4, "d"), (None, None, 5, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, leaking int, th string")
+    b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    kept = dc.without_leaks(d, b)
+    assert kept.columns == d.columns and sorted(r.leaking for r in kept.collect()) == [2, 3, 5]

@@ -61,6 +61,30 @@ def test_long_and_deep_pages():
     assert main_text(f"<article>{long}</article>").count("\n") == 29_999
 
 
+def test_nested_formatting():
+    page = "<div><span>" + "<i>" * 3000 + "</i>" * 3000 + "<p>text after it"
+    assert main_text(page) == "text after it"
+
+
+TEXT = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+ALL = "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><form id=aspnetForm method=post><input type=hidden name=state>{TEXT}<input type=submit></form>", ALL),
+    (f"<article>{TEXT}<form><p>Write to us</p><input name=m><button>Send</button></form></article>", ALL),
+    (f"<article>{TEXT}<section id=discussion><p>What follows from it.</p></section></article>", f"{ALL}\nWhat follows from it."),
+    (f"<article><div class=related-work><p>Others found it before.</p></div>{TEXT}</article>", f"Others found it before.\n{ALL}"),
+    (f"<article>{TEXT}<p class=notice>A correction was made.</p></article>", f"{ALL}\nA correction was made."),
+    (f"<article>{TEXT}<div class=related><a href=1>Another article</a> <a href=2>One more</a></div></article>", ALL),
+    (f"<article>{TEXT}<div class=search><input name=q>Search the site</div></article>", ALL),
+    (f"<article>{TEXT}<div class=ad>Buy this</div><div id=comments><p>First!</p></div></article>", ALL),
+    (f"<p>We read <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p>{TEXT}", f"We read x=2 here.\n{ALL}"),
+])
+def test_text_decides_where_names_do_not(page, want):
+    assert main_text(page) == want
+
+
 def test_rows(spark):
     rows = [(1, "u", None, 9), (1, "u", None, 9), (None, None, "<p>a</p>", 9), (2, "v", "", 9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

@@ -92,13 +92,10 @@ def _windows(words: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame
     return rows.select(*keys, "run.*")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", folder: str | None = None) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, changed): the items that each document leaks.
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", folder: str | None = None) -> DataFrame:
+    """(doc_id, th, item_id, windows, item_windows, changed) of every text and item that hit at some shift; th is the text's ``xxhash64``.
 
-    windows: the item's windows that the document has, at the shift with most; changed: slots there whose
-    value is another one in the document. Null and empty texts on either side leak nothing. Rows are
-    told apart by id and text, so a null id, or one that is on several texts, keeps its hits apart; in
-    the result the ids are one, with the best match. Items that share a null id count as one item.
+    Rows are told apart by id and text, so a null id, or one that is on several texts, keeps its hits apart.
     """
     folder = folder or shared_folder(docs.sparkSession, "decontaminate")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"), F.xxhash64(doc_text).alias("th"))
@@ -111,7 +108,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_tex
     lengths = [r.own for r in known.select("own").where(F.col("own") >= LITERALS).distinct().collect()]  # at most WINDOW values
     if not lengths:
         nothing = (F.lit(0).cast("long").alias(c) for c in ("windows", "item_windows", "changed"))
-        return docs.where(F.lit(False)).select("doc_id", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), *nothing)
+        return docs.where(F.lit(False)).select("doc_id", "th", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), *nothing)
     wanted = _windows(known, [*names, "w", "own"], lengths).where("length = own").withColumn("w", F.slice("w", F.col("pos") + 1, F.col("length")))
     literal = F.size(F.filter("w", lambda w: w >= LAST))
     wanted = stored(wanted.where(literal >= LITERALS).select(*names, F.col("pos").alias("at"), "w", "key"), f"{folder}/wanted")
@@ -138,16 +135,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_tex
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
     kept = a.join(b, same, "left").where(F.coalesce("b.ok", F.lit(True))).select(*(f"a.{c}" for c in place), "a.windows", F.coalesce("b.changed", F.lit(0)).alias("changed"))
     kept = kept.join(total, names).where(F.col("windows") >= F.least(F.lit(LEAST), F.col("item_windows")))
-    kept = kept.join(items.select(*names, "item_id"), names)
+    return kept.join(items.select(*names, "item_id"), names).select("doc_id", "th", "item_id", "windows", "item_windows", "changed")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", folder: str | None = None) -> DataFrame:
+    """(doc_id, item_id, windows, item_windows, changed): the items that each document leaks.
+
+    windows: the item's windows that the document has, at the shift with most; changed: slots there whose
+    value is another one in the document. Null and empty texts on either side leak nothing. Ids that are on
+    several texts are one here, with the best match. Items that share a null id count as one item.
+    """
+    kept = leaking_texts(docs, benchmark, doc_id, doc_text, item_id, item_text, folder)
     best = F.max(F.struct("windows", (-F.col("changed")).alias("unchanged"), "item_windows"))
     out = kept.groupBy("doc_id", "item_id").agg(best.alias("best"))
     return out.select("doc_id", "item_id", "best.windows", "best.item_windows", (-F.col("best.unchanged")).alias("changed"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaking")), "left_anti")
+    """``docs`` without the rows whose text leaks an item; other texts of the same id, or of a null id, stay."""
+    found = leaking_texts(docs, benchmark).select("doc_id", "th").distinct().alias("found")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("found.doc_id")) & (F.xxhash64("docs.text") == F.col("found.th"))
+    return docs.alias("docs").join(found, same, "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 A page becomes a tree of elements, read as leniently as browsers do: paragraphs and list items close
 each other, formatting elements that were never closed end with their block, and what is missing
 at the end is closed. Elements that never hold the article (menus, headers and footers of the page,
-sidebars, notices, adverts, forms, comments, scripts, styles) are left out by tag, role and name.
+sidebars, notices, adverts, comments, scripts, styles) are left out by tag, role and name. What may be
+either stays in the tree until its text is counted: a form goes if it has little text for its controls, and an
+element inside an article whose name only hints at something else (a notice, a discussion, related work) goes if
+links hold much of its text or it has controls.
 
 The density of an element is its characters per tag, adjusted by the share and the place of its link text:
 ``c / t * ln(c * t / (lc * lt)) / (1 + ln(base))`` with ``base = ln(c * lc / nlc + lcb * c / cb + e)``, where c, t are the
@@ -42,8 +45,8 @@ ENDS_WITH = {"p", "li", "dt", "dd", "td", "th", "tr"}
 IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 #: Elements that hold no article, by tag, role, and words of their class and id.
 NO_TEXT = {
-    "script", "style", "noscript", "template", "head", "title", "iframe", "object", "embed", "svg", "math", "canvas", "audio", "video",
-    "map", "select", "datalist", "textarea", "button", "input", "form", "nav", "aside", "footer", "menu", "dialog", "search", "noframes",
+    "script", "style", "noscript", "template", "head", "title", "iframe", "object", "embed", "svg", "canvas", "audio", "video",
+    "map", "select", "datalist", "textarea", "button", "input", "nav", "aside", "footer", "menu", "dialog", "search", "noframes",
 }
 NO_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "status", "toolbar", "note"}
 NO_NAME = {
@@ -54,6 +57,12 @@ NO_NAME = {
     "social", "related", "recommended", "recommendations", "widget", "widgets", "pagination", "pager", "paging", "form", "search", "copyright",
     "disclaimer", "skip", "hidden", "teaser", "outbrain", "taboola",
 }
+#: Names and roles that say little inside an article.
+HINTS = {"notice", "notices", "discussion", "related", "teaser", "widget", "widgets", "search", "disclaimer", "copyright", "share", "sharing", "form", "banner"}
+HINT_ROLES = {"note", "status"}
+CONTROLS = {"input", "button", "select", "textarea"}
+FORM_CHARS = 200  # characters for each control, from which a form is text with controls in it
+LINK_SHARE = 1 / 3
 NO_HEADER = {"header", "pageheader", "siteheader"}
 KEEPS_HEADER = {"article", "main"}
 WHOLE = {"html", "body", "article", "main"}
@@ -65,12 +74,19 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its tag, children (elements and strings), and the counts that the densities need."""
 
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "controls", "doubt", "has_text")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.controls, self.doubt, self.has_text = 0, False, False
+
+    def goes(self) -> bool:
+        """Whether an element that may be either is no part of an article, once its text is counted."""
+        if self.tag == "form":
+            return self.controls > 0 and self.chars < FORM_CHARS * self.controls
+        return self.doubt and (self.controls > 0 or self.link_chars > LINK_SHARE * self.chars)
 
 
 def _names(attrs: list[tuple[str, str | None]]) -> set[str]:
@@ -88,7 +104,8 @@ class _Tree(HTMLParser):
         self.body: Node | None = None
         self.skipped: list[str] = []
 
-    def _no_article(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _no_article(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
+        """Whether an element is left out; None if its text decides."""
         if tag in NO_TEXT:
             return True
         if tag in WHOLE:
@@ -96,12 +113,18 @@ class _Tree(HTMLParser):
         inside = self.at
         while inside is not None and inside.tag not in KEEPS_HEADER:
             inside = inside.parent
-        names = _names(attrs)
+        names = _names(attrs) - ({"form"} if tag == "form" else set())
         if inside is None and (tag == "header" or names & NO_HEADER):
             return True
         values = dict(attrs)
         hidden = "hidden" in values or (values.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style") or "", re.I)
-        return bool(names & NO_NAME or (values.get("role") or "").lower() in NO_ROLE or hidden)
+        words, role = names & NO_NAME, (values.get("role") or "").lower()
+        if hidden or not (words or role in NO_ROLE):
+            return bool(hidden)
+        while inside is not None and inside.tag != "article":
+            inside = inside.parent
+        hints = words <= HINTS and (role not in NO_ROLE or role in HINT_ROLES)
+        return None if inside is not None and hints else True
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         """Ends the nearest open element of ``tags``, unless one of ``stop`` is nearer."""
@@ -140,15 +163,19 @@ class _Tree(HTMLParser):
                 if self.at is before:
                     break
         if tag in BLOCK:  # formatting that its block has left open does not hold the blocks that follow
-            while self.at.tag in FORMATTING and self.at.parent is not None and self.at.parent.tag not in FORMATTING and not _has_text(self.at):
+            while self.at.tag in FORMATTING and self.at.parent is not None and self.at.parent.tag not in FORMATTING and not self.at.has_text:
                 self.at = self.at.parent
         if tag in VOID:
+            self.at.controls += tag in CONTROLS
             self.at.children.append(Node(tag, self.at))
             return
-        if self._no_article(tag, attrs):
+        left_out = self._no_article(tag, attrs)
+        if left_out:
+            self.at.controls += tag in CONTROLS
             self.skipped.append(tag)
             return
         node = Node(tag, self.at)
+        node.doubt = left_out is None
         self.at.children.append(node)
         self.at = node
 
@@ -173,12 +200,12 @@ class _Tree(HTMLParser):
         self._close({tag}, {"body"} if tag in BLOCK else BLOCK - {"p"} | {"p"})
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            self.at.children.append(data)
-
-
-def _has_text(node: Node) -> bool:
-    return any(isinstance(c, str) and c.strip() or isinstance(c, Node) and _has_text(c) for c in node.children)
+        if self.skipped:
+            return
+        self.at.children.append(data)
+        node = self.at if data.strip() else None
+        while node is not None and not node.has_text:
+            node.has_text, node = True, node.parent
 
 
 def parse(html: str) -> Node:
@@ -198,8 +225,10 @@ def _ordered(body: Node) -> list[Node]:
 
 
 def _count(nodes: list[Node]) -> None:
+    """Counts from the leaves up, without children that turn out to be no part of an article."""
     for node in reversed(nodes):
         link = node.tag == "a"
+        node.children = [c for c in node.children if isinstance(c, str) or not c.goes()]
         for child in node.children:
             if isinstance(child, str):
                 n = len(SPACE.sub("", child))
@@ -210,6 +239,7 @@ def _count(nodes: list[Node]) -> None:
                 node.tags += child.tags + 1
                 node.link_chars += child.chars if link else child.link_chars
                 node.link_tags += child.link_tags + (child.tag == "a")
+                node.controls += child.controls
 
 
 def _score(nodes: list[Node]) -> None:
@@ -226,10 +256,10 @@ def _score(nodes: list[Node]) -> None:
 
 def main_node(body: Node) -> Node | None:
     """The element that holds the densest subtrees; none where the page has no text."""
-    nodes = _ordered(body)
-    _count(nodes)
+    _count(_ordered(body))
     if not body.chars:
         return None
+    nodes = _ordered(body)
     _score(nodes)
     best = max(nodes, key=lambda n: n.total)
     threshold, node = math.inf, best
