@@ -20,12 +20,13 @@ from thicket.functions import text as X
 from thicket.operators import countries as C
 from thicket.operators import evaluation as E
 from thicket.operators import inventory as I
+from thicket.operators import neighbours as N
 from thicket.operators import search as S
 from thicket.operators import thresholds as T
 from thicket.operators import triples as R
 from thicket.operators.containment import keyword_hits
 from thicket.plans import retrieve as P
-from thicket.session import materialise
+from thicket.session import materialise, shared_folder
 from thicket.sources.tables import index_rows, threshold_rows
 
 # -- plain documents --------------------------------------------------------
@@ -117,6 +118,31 @@ def nearest_vectors_by_blocks(spark, d):
     )
 
 
+_CELLS: dict[tuple[str, str], N.CellIndex] = {}
+
+
+def _vector_index(spark, d):
+    """The index of all vectors, stored on first use."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CELLS:
+        _CELLS[key] = N.build_index(W.document_vectors(spark, d), f"{shared_folder(spark)}/cells-{len(_CELLS)}")
+    return _CELLS[key]
+
+
+@query("R2 R3", "WITH " + _VECS + "," + vector_cte("qv", "iv", 12) + " SELECT * FROM vechits")
+def nearest_vectors_by_all_cells(spark, d):
+    """The stored index probed whole, which has to be the exact search."""
+    index = _vector_index(spark, d)
+    return N.approximate_search(index, W.benchmark_questions(spark, d), V.TOP_K, probes=index.cells)
+
+
+@query("R2 R3")
+def approximate_neighbours(spark, d):
+    """Every vector whose id is divisible by 20 against all rows, by the cells nearest to it; no SQL, as it is approximate."""
+    asked = W.load(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return N.approximate_search(_vector_index(spark, d), asked, V.TOP_K)
+
+
 _RRF = """fused AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.uri, k.uri) AS uri, v.rank AS vec_rank, k.rank AS kw_rank,
       coalesce(v.score, 0) AS vector_score, coalesce(k.score, 0) AS kw_score,
       round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0), 6) AS rrf_score
