@@ -24,7 +24,7 @@ from thicket.operators.ordering import numbered
 from thicket.plans import build as B
 from thicket.session import shared_folder
 from thicket.sources import tables as S
-from thicket.streaming.annotate import annotate_stream
+from thicket.streaming.annotate import annotate_stream, search_stream
 
 
 def scratch(spark, name: str) -> str:
@@ -494,3 +494,20 @@ def streamed_questions(spark, d):
     job = annotate_stream(asked, W.documents(spark, d), out, state, 10)
     job.awaitTermination()
     return spark.read.parquet(out).select("qid", "uri", "score", "rank")
+
+
+@query(
+    "ST1 R1",
+    "WITH " + keywords_cte(_BENCH) + "," + _DOC_ROWS + "," + scored_cte(10, False)
+    + " SELECT qid, uri, score, rank FROM kwhits",
+)
+def streamed_questions_against_postings(spark, d):
+    """The same stream against the stored keyword index, each question answered once."""
+    asked = (
+        spark.readStream.schema(spark.read.parquet(f"{d}/benchmark.parquet").schema)
+        .parquet(f"{d}/benchmar[k].parquet")
+        .select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.current_timestamp().alias("asked_at"))
+    )
+    out, state = scratch(spark, "asked"), scratch(spark, "asked-state")
+    search_stream(asked, W.document_postings(spark, d), out, state, 10).awaitTermination()
+    return spark.read.parquet(out).select("qid", "uri", "score", "rank")

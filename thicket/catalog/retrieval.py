@@ -21,12 +21,13 @@ from thicket.operators import countries as C
 from thicket.operators import evaluation as E
 from thicket.operators import inventory as I
 from thicket.operators import neighbours as N
+from thicket.operators import postings as K
 from thicket.operators import search as S
 from thicket.operators import thresholds as T
 from thicket.operators import triples as R
 from thicket.operators.containment import keyword_hits
 from thicket.plans import retrieve as P
-from thicket.session import materialise, shared_folder
+from thicket.session import materialise
 from thicket.sources.tables import index_rows, threshold_rows
 
 # -- plain documents --------------------------------------------------------
@@ -80,10 +81,32 @@ def document_keyword_hits(spark, d):
 )
 def document_keyword_search(spark, d):
     asked = W.benchmark_questions(spark, d).select("qid", "query")
-    found = S.keyword_search(asked, W.documents(spark, d), 10)
+    found = K.stored_search(asked, W.document_postings(spark, d), 10, fields=False)
     return found.select("qid", "uri", "score", "rank")
 
 
+@query(
+    "R1 L3",
+    "WITH " + keywords_cte(_BENCH) + "," + _DOC_ROWS + "," + scored_cte(10, False)
+    + " SELECT qid, uri, score, rank FROM kwhits",
+)
+def document_search_over_texts(spark, d):
+    """The same search without a stored index: texts are cut into runs for this one batch of questions."""
+    asked = W.benchmark_questions(spark, d).select("qid", "query")
+    return S.keyword_search(asked, W.documents(spark, d), 10).select("qid", "uri", "score", "rank")
+
+
+@query(
+    "J11",
+    "WITH " + keywords_cte(_BENCH)
+    + """, k AS (SELECT DISTINCT w AS keyword FROM kw)
+    SELECT '' || doc_id AS uri, keyword FROM documents JOIN k ON contains(lower(text), keyword)""",
+)
+def stored_keyword_hits(spark, d):
+    words = W.benchmark_questions(spark, d).select(F.explode(Q.question_keywords("query")).alias("keyword"))
+    return K.keyword_hits(words, W.document_postings(spark, d))
+
+
 def vector_cte(queries: str, docs: str, k: int, name: str = "vechits") -> str:
     """(qid, uri, score, rank): nearest documents by cosine; both tables have ``v`` double[]."""
     return f"""cosine AS (SELECT q.qid, i.uri, round(list_dot_product(q.v, i.v)
@@ -118,15 +141,10 @@ def nearest_vectors_by_blocks(spark, d):
     )
 
 
-_CELLS: dict[tuple[str, str], N.CellIndex] = {}
-
-
 def _vector_index(spark, d):
     """The index of all vectors, stored on first use."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _CELLS:
-        _CELLS[key] = N.build_index(W.document_vectors(spark, d), f"{shared_folder(spark)}/cells-{len(_CELLS)}")
-    return _CELLS[key]
+    path = W.stored_once(spark, d, "cells", lambda p: N.build_index(W.document_vectors(spark, d), p))
+    return N.open_index(spark, path)
 
 
 @query("R2 R3", "WITH " + _VECS + "," + vector_cte("qv", "iv", 12) + " SELECT * FROM vechits")
@@ -164,7 +182,7 @@ _HYBRID_DOCS = (
 def _document_hits(spark, d):
     asked = W.benchmark_questions(spark, d)
     vec = S.vector_search(asked, W.document_vectors(spark, d), 36)
-    kw = S.keyword_search(asked.select("qid", "query"), W.documents(spark, d), 36)
+    kw = K.stored_search(asked.select("qid", "query"), W.document_postings(spark, d), 36, fields=False)
     return S.rrf(vec, kw, V.TOP_K)
 
 
@@ -229,8 +247,7 @@ _ASK_KG = W.with_sql(
 )
 def concept_keyword_search(spark, d):
     filters = Q.extract_filters(W.template_questions(spark, d))
-    concepts = materialise(R.concept_rows(W.kg_triples(spark, d)))
-    found = S.filtered_search(filters, concepts, 36)
+    found = K.stored_filtered_search(filters, W.concept_postings(spark, d), 36)
     return found.select(
         "qid", "uri", "score", "rank", "label", "definition",
         X.text_or_empty("country").alias("country"), "year", "scope", "org",
@@ -337,7 +354,8 @@ def _labels(spark, d):
 def boosted_hits(spark, d):
     filters = Q.extract_filters(_asked(spark, d))
     hits = P.hybrid_hits(
-        filters, W.kg_triples(spark, d), _index(spark, d), V.TOP_K, _labels(spark, d)
+        filters, W.kg_triples(spark, d), _index(spark, d), V.TOP_K, _labels(spark, d),
+        W.concept_postings(spark, d),
     )
     return hits.select(
         "qid", "uri", "rank", "vec_rank", "kw_rank", "vector_score", "kw_score", "rrf_score",
@@ -576,7 +594,7 @@ def _flat(hits):
 def hybrid_retrieval(spark, d):
     hits = P.hybrid_retrieve(
         _asked(spark, d), W.kg_triples(spark, d), _index(spark, d), _thresholds(spark, d),
-        V.TOP_K, _labels(spark, d),
+        V.TOP_K, _labels(spark, d), W.concept_postings(spark, d),
     )
     return _flat(hits)
 
@@ -586,14 +604,13 @@ _PLANS = """planned AS (SELECT nkey AS qid, 'Which land in ' || nat || ' has an
       UNION ALL SELECT qid, 1, 'vector_search', '' FROM planned WHERE qid < 8
       UNION ALL SELECT qid, 0, 'sparql_search', plan->>'$[0].query' FROM planned WHERE qid >= 8 AND qid < 16
       UNION ALL SELECT qid, 0, 'vector_search', query FROM planned WHERE qid >= 16)"""
-_PLANNED = (
-    W.with_sql(
+def _planned_sql(k: int) -> str:
+    return W.with_sql(
         W.KG_SQL, W.T3_SQL, W.TS_SQL, _KEYS_SQL, W.TEXTS_SQL, _PLANS,
         "ask AS (SELECT qid, query FROM planned)", filters_cte("ask"),
         keywords_cte("(SELECT qid, query FROM calls WHERE tool = 'sparql_search')"), _CONCEPT_ROWS,
-        scored_cte(8, True), _INDEX, vector_cte("qv", "idxv", 8),
-    ).rstrip()
-    + """,
+        scored_cte(k, True), _INDEX, vector_cte("qv", "idxv", k),
+    ).rstrip() + f""",
     kwc AS (SELECT c.qid, c.call, k.rank, k.uri, 'Term: ' || coalesce(r.label, '') || ' - ' || r.definition AS text, coalesce(r.label, '') AS label,
       r.definition, coalesce(r.country, '') AS country, coalesce(r.year, '') AS year, coalesce(r.scope, '') AS scope, coalesce(r.org, '') AS org,
       'sparql' AS sources, NULL AS vec_rank, k.rank AS kw_rank, 0.0::DOUBLE AS vector_score, k.score AS kw_score,
@@ -605,10 +622,11 @@ _PLANNED = (
     hitsall AS (SELECT * FROM both_ UNION ALL BY NAME SELECT vall.*, 0 AS call FROM vall WHERE qid NOT IN (SELECT qid FROM both_)),
     uniq AS (SELECT * FROM hitsall QUALIFY row_number() OVER (PARTITION BY qid, uri ORDER BY call, rank) = 1),
     hits2 AS (SELECT * EXCLUDE (rank), cast(row_number() OVER (PARTITION BY qid ORDER BY call, rank) AS INTEGER) AS rank,
-      NULL AS graph_context FROM uniq QUALIFY row_number() OVER (PARTITION BY qid ORDER BY call, rank) <= 8),
-    """
-    + _ENRICH_BASE + "," + enrich_cte("hits2")
-)
+      NULL AS graph_context FROM uniq QUALIFY row_number() OVER (PARTITION BY qid ORDER BY call, rank) <= {k}),
+    """ + _ENRICH_BASE + "," + enrich_cte("hits2")
+
+
+_PLANNED = _planned_sql(8)
 
 
 def _planned_questions(spark, d):
@@ -627,14 +645,35 @@ def planned_retrieval(spark, d):
     return _flat(
         P.planned_retrieve(
             _planned_questions(spark, d), plans, W.kg_triples(spark, d), _index(spark, d),
-            _thresholds(spark, d), 8,
+            _thresholds(spark, d), 8, W.concept_postings(spark, d),
         )
     )
 
 
-@query("R21")
+_MODE_ASK = "ask AS (SELECT nkey AS qid, 'Which land in ' || nat || ' has an area of canopy?' AS query FROM kgn WHERE {0})"
+_BY_VECTOR = W.with_sql(
+    W.KG_SQL, _MODE_ASK.format("nkey BETWEEN 5 AND 11"), _CONCEPT_ROWS, _INDEX, vector_cte("qv", "idxv", 12)
+) + "SELECT qid, uri, rank AS n FROM vechits"
+_BY_GRAPH = (
+    W.with_sql(
+        W.KG_SQL, W.T3_SQL, W.TS_SQL, _KEYS_SQL, _MODE_ASK.format("nkey BETWEEN 12 AND 17"), filters_cte("ask"),
+        keywords_cte("ask"), _CONCEPT_ROWS, INVENTORY_SQL, scored_cte(36, True), _INDEX, vector_cte("qv", "idxv", 36),
+        _RRF, ranked("fused", 36, "cut3"), _FUSED_FIELDS, _BOOST, ranked("boosted", 12, "hits"),
+    ).rstrip()
+    + f", hits2 AS (SELECT *, {_SOURCES} AS sources, NULL AS graph_context FROM hits), "
+    + _ENRICH_BASE + "," + enrich_cte("hits2") + " SELECT qid, uri, n FROM enriched"
+)
+_BY_PLAN = _planned_sql(12) + " SELECT qid, uri, n FROM enriched WHERE qid >= 18"
+_BY_MODE = f"""WITH found AS MATERIALIZED (SELECT * FROM ({_BY_VECTOR}) UNION ALL SELECT * FROM ({_BY_GRAPH})
+    UNION ALL SELECT * FROM ({_BY_PLAN})),
+  asked AS (SELECT n_nationkey AS qid FROM nation WHERE n_nationkey >= 5)
+  SELECT cast(qid AS BIGINT) AS qid, uri, cast(n AS BIGINT) AS n FROM found
+  UNION ALL SELECT cast(qid AS BIGINT), '', 0 FROM asked WHERE qid NOT IN (SELECT qid FROM found)"""
+
+
+@query("R21", _BY_MODE)
 def retrieval_by_mode(spark, d):
-    """Hits per mode; each mode's own list is checked by the queries above."""
+    """Hits per mode: vectors alone, both searches, or planned calls."""
     mode = F.expr("CASE WHEN qid < 5 THEN 'none' WHEN qid < 12 THEN 'vector' "
                   "WHEN qid < 18 THEN 'graph' ELSE 'planned' END")
     asked = _planned_questions(spark, d).withColumn("mode", mode)
@@ -642,7 +681,10 @@ def retrieval_by_mode(spark, d):
         F.col("qid").cast("long").alias("qid"), F.col("plan").alias("text")
     )
     hits = materialise(
-        P.retrieve(asked, plans, W.kg_triples(spark, d), _index(spark, d), _thresholds(spark, d))
+        P.retrieve(
+            asked, plans, W.kg_triples(spark, d), _index(spark, d), _thresholds(spark, d), V.TOP_K,
+            _labels(spark, d), W.concept_postings(spark, d),
+        )
     )
     missed = P.without_hits(asked, hits).select("qid", F.lit("").alias("uri"), F.lit(0).alias("n"))
     return hits.select("qid", "uri", "n").unionByName(missed)
@@ -664,6 +706,7 @@ def _answered(spark, d):
                 F.col("qid").cast("long").alias("qid"), F.col("plan").alias("text")
             ),
             W.kg_triples(spark, d), _index(spark, d), _thresholds(spark, d), 8,
+            W.concept_postings(spark, d),
         )
     )
     answers = W.model_texts(spark, d).select(

@@ -8,12 +8,16 @@ the rows different shapes; no row is left out by them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket import vocab as V
+from thicket.operators.postings import KeywordIndex, add_batch
+from thicket.operators.triples import concept_rows
 from thicket.schemas import TRIPLE_COLS
-from thicket.session import shared_folder
+from thicket.session import materialise, shared_folder
 from thicket.sources.tables import read_triples, write_triples
 
 
@@ -198,17 +202,33 @@ def kg_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*TRIPLE_COLS).unionByName(described.select(*TRIPLE_COLS))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def kg_triples(spark: SparkSession, d: str) -> DataFrame:
-    """The graph as a stored table split by predicate, written on first use."""
-    key = (spark.sparkContext.applicationId, d)
+def stored_once(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder of a table or index that is made from the tables in ``d`` on first use."""
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _STORED:
-        path = f"{shared_folder(spark)}/graph-{len(_STORED)}.parquet"
-        write_triples(kg_rows(spark, d), path)
+        path = f"{shared_folder(spark)}/{name}-{len(_STORED)}"
+        write(path)
         _STORED[key] = path
-    return read_triples(spark, _STORED[key])
+    return _STORED[key]
+
+
+def kg_triples(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as a stored table split by predicate, written on first use."""
+    return read_triples(spark, stored_once(spark, d, "graph", lambda path: write_triples(kg_rows(spark, d), path)))
+
+
+def concept_postings(spark: SparkSession, d: str) -> KeywordIndex:
+    """The stored keyword index of the graph's concepts."""
+    write = lambda path: add_batch(KeywordIndex(path), materialise(concept_rows(kg_triples(spark, d))))
+    return KeywordIndex(stored_once(spark, d, "concept-postings", write))
+
+
+def document_postings(spark: SparkSession, d: str) -> KeywordIndex:
+    """The stored keyword index of the documents."""
+    return KeywordIndex(stored_once(spark, d, "document-postings", lambda path: add_batch(KeywordIndex(path), documents(spark, d))))
 
 
 # -- reference countries ----------------------------------------------------

@@ -148,6 +148,11 @@ def keyword_scores(questions: DataFrame, concepts: DataFrame) -> DataFrame:
         )
         .filter(F.col("hits") > 0)
     )
+    return filtered_scores(pairs, questions)
+
+
+def filtered_scores(pairs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, uri, rid, score) of the (qid, uri, rid, hits, keywords, …) ``pairs`` that pass their question's filters."""
     filters = materialise(questions.select("qid", "concept", "scope", "org"))
     org = F.col("org")
     bonus = (
@@ -174,25 +179,38 @@ def keyword_search(questions: DataFrame, concepts: DataFrame, k: int = 10) -> Da
 
     A concept with several label or definition rows keeps its best one.
     """
-    best = (
-        keyword_scores(questions, concepts)
-        .groupBy("uri", "qid")
-        .agg(F.max(F.struct("score", "rid")).alias("b"))
-        .select("qid", "uri", "b.*")
-    )
-    hits = materialise(top_k(best, k))
+    hits = best_hits(keyword_scores(questions, concepts), k)
     fields = concepts.select(
         "uri",
         row_id().alias("rid"),
         *[c for c in CONCEPT_FIELDS if c in concepts.columns],
     )
+    return with_fields(fields, hits)
+
+
+def best_hits(scores: DataFrame, k: int) -> DataFrame:
+    """(qid, uri, score, rid, rank): each concept's best row, and the best ``k`` concepts of each question."""
+    best = (
+        scores.groupBy("uri", "qid")
+        .agg(F.max(F.struct("score", "rid")).alias("b"))
+        .select("qid", "uri", "b.*")
+    )
+    return materialise(top_k(best, k))
+
+
+def with_fields(fields: DataFrame, hits: DataFrame) -> DataFrame:
+    """``hits`` with the fields of their row."""
     return dedupe_best(fields.join(hits, ["uri", "rid"]), ["qid", "uri"], ["rid"]).drop("rid")
 
 
+def without_moot_scope(filters: DataFrame) -> DataFrame:
+    """An organisation makes the scope moot."""
+    return filters.withColumn("scope", F.when(F.col("org").isNull(), F.col("scope")))
+
+
 def filtered_search(filters: DataFrame, concepts: DataFrame, k: int) -> DataFrame:
     """R1 with the question's filters; an organisation makes the scope moot."""
-    scope = F.when(F.col("org").isNull(), F.col("scope"))
-    return keyword_search(filters.withColumn("scope", scope), concepts, k)
+    return keyword_search(without_moot_scope(filters), concepts, k)
 
 
 # -- vectors ----------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thicket import vocab as V
 from thicket.functions import questions as Q
 from thicket.functions import text as X
+from thicket.operators import postings as I
 from thicket.operators import search as S
 from thicket.operators import thresholds as T
 from thicket.operators.triples import concept_rows
@@ -22,9 +23,20 @@ def vector_hits(questions: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return index.select("uri", *FIELDS).join(found, "uri")
 
 
-def keyword_rows(filters: DataFrame, concepts: DataFrame, k: int) -> DataFrame:
+def keyword_found(
+    filters: DataFrame, triples: DataFrame, k: int, postings: I.KeywordIndex | None = None
+) -> DataFrame:
+    """R4 from a stored keyword index, or over the texts of the graph's concepts where there is none."""
+    if postings is not None:
+        return I.stored_filtered_search(filters, postings, k)
+    return S.filtered_search(filters, materialise(concept_rows(triples)), k)
+
+
+def keyword_rows(
+    filters: DataFrame, triples: DataFrame, k: int, postings: I.KeywordIndex | None = None
+) -> DataFrame:
     """R4 with the hit text."""
-    found = S.filtered_search(filters, concepts, k)
+    found = keyword_found(filters, triples, k, postings)
     text = X.format_hit("label", "definition", "country", "year", "scope", "org")
     return found.withColumn("text", text)
 
@@ -50,17 +62,17 @@ def fuse(vec: DataFrame, kw: DataFrame, k: int) -> DataFrame:
 
 def hybrid_hits(
     filters: DataFrame, triples: DataFrame, index: DataFrame, k: int = V.TOP_K,
-    labels: DataFrame | None = None,
+    labels: DataFrame | None = None, postings: I.KeywordIndex | None = None,
 ) -> DataFrame:
     """R12 up to the cut: both searches at 3k, fused, boosted, best ``k``."""
     vec = vector_hits(filters, index, 3 * k)
-    kw = keyword_rows(filters, materialise(concept_rows(triples)), 3 * k)
+    kw = keyword_rows(filters, triples, 3 * k, postings)
     return S.boost(fuse(vec, kw, 3 * k), filters, k, labels)
 
 
 def hybrid_retrieve(
     questions: DataFrame, triples: DataFrame, index: DataFrame, thresholds: DataFrame,
-    k: int = V.TOP_K, labels: DataFrame | None = None,
+    k: int = V.TOP_K, labels: DataFrame | None = None, postings: I.KeywordIndex | None = None,
 ) -> DataFrame:
     """Hits with graph context and thresholds, positions in ``n``.
 
@@ -68,7 +80,7 @@ def hybrid_retrieve(
     extracted (a ``concept`` column).
     """
     filters = questions if "concept" in questions.columns else Q.extract_filters(questions)
-    hits = materialise(hybrid_hits(filters, triples, index, k, labels))
+    hits = materialise(hybrid_hits(filters, triples, index, k, labels, postings))
     return T.enrich_thresholds(filters, hits, triples, thresholds)
 
 
@@ -83,7 +95,7 @@ def _vector_only(hits: DataFrame) -> DataFrame:
 
 def planned_retrieve(
     questions: DataFrame, plans: DataFrame, triples: DataFrame, index: DataFrame,
-    thresholds: DataFrame, k: int = 8,
+    thresholds: DataFrame, k: int = 8, postings: I.KeywordIndex | None = None,
 ) -> DataFrame:
     """Run each question's planned tool calls, merge, add context and thresholds.
 
@@ -104,7 +116,7 @@ def planned_retrieve(
     searches = calls.filter(F.col("tool") == "sparql_search")
     owners = materialise(searches.select("cid", F.col("qid").alias("owner"), "call"))
     by_call = searches.withColumn("qid", F.col("cid")).drop("cid", "call", "tool")
-    found = S.filtered_search(by_call, materialise(concept_rows(triples)), k)
+    found = keyword_found(by_call, triples, k, postings)
     kw = found.join(owners, found["qid"] == owners["cid"]).select(
         F.col("owner").alias("qid"), "uri",
         X.format_planned_hit("label", "definition").alias("text"),
@@ -124,7 +136,8 @@ def planned_retrieve(
 
 def retrieve(
     questions: DataFrame, plans: DataFrame, triples: DataFrame, index: DataFrame,
-    thresholds: DataFrame, k: int = V.TOP_K,
+    thresholds: DataFrame, k: int = V.TOP_K, labels: DataFrame | None = None,
+    postings: I.KeywordIndex | None = None,
 ) -> DataFrame:
     """Hits of every question by its ``mode`` (vector, graph, planned, none)."""
 
@@ -134,8 +147,8 @@ def retrieve(
     vector = _vector_only(vector_hits(part("vector"), index, k)).withColumns(
         {"graph_context": F.lit(None).cast("string"), "n": F.col("rank").cast("long")}
     )
-    graph = hybrid_retrieve(part("graph"), triples, index, thresholds, k)
-    planned = planned_retrieve(part("planned"), plans, triples, index, thresholds, k)
+    graph = hybrid_retrieve(part("graph"), triples, index, thresholds, k, labels, postings)
+    planned = planned_retrieve(part("planned"), plans, triples, index, thresholds, k, postings)
     columns = [*T.HIT_COLUMNS, "n"]
     return (
         vector.select(*columns)
@@ -149,10 +162,3 @@ def without_hits(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.filter(F.col("mode") != "none").join(
         hits.select("qid").distinct(), "qid", "left_anti"
     )
-
-
-def document_hits(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Keyword and vector hits of plain documents (uri, definition, embedding), fused."""
-    vec = S.vector_search(questions, docs, 3 * k)
-    kw = S.keyword_search(questions, docs.withColumn("label", F.lit("")), 3 * k)
-    return S.rrf(vec, kw, k)
