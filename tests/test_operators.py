@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from thicket import schemas as M
 from thicket import vocab as V
 from thicket.operators import graph as G
+from thicket.operators import ordering
 from thicket.operators import search as S
 from thicket.operators import stats as A
 from thicket.operators import thresholds as T
@@ -215,6 +217,30 @@ def test_heading_path_is_a_stack(spark):
     assert {r["pos"]: tuple(r[f"title_{i}"] for i in range(1, 5)) for r in out} == want
 
 
+@pytest.mark.parametrize("span", [4, 256])
+def test_heading_levels_without_bound(spark, monkeypatch, span):
+    """Levels up to 30, documents of very different length, a null document; spans of 4 need several scans."""
+    monkeypatch.setattr(ordering, "SPAN", span)
+    rng = random.Random(span)
+    rows, want = [], {}
+    for doc, n in (("long", 700), ("short", 5), (None, 40), ("none", 3)):
+        stack = []
+        for pos in range(n):
+            level = None if doc == "none" else rng.choice([None, None, rng.randrange(1, 4), rng.randrange(9, 31)])
+            if level is None:
+                rows.append((doc, pos, "Normal", f"text {pos}"))
+                want[doc, pos] = tuple(([t for _, t in stack if t] + [""] * 6)[:6])
+            else:
+                title = "" if pos % 11 == 0 else f"T{pos}"
+                rows.append((doc, pos, f"Heading {level}", f"1.{pos} {title}"))
+                stack = [h for h in stack if h[0] < level] + [(level, title)]
+    df = spark.createDataFrame(rows, "doc_id string, pos long, style string, text string").repartition(5)
+    out = heading_path(df, 6).collect()
+    assert len(out) == len(want)
+    assert {(r["doc_id"], r["pos"]): tuple(r[f"title_{i}"] for i in range(1, 7)) for r in out} == want
+    assert heading_path(df.limit(0)).count() == 0
+
+
 def test_set_semantics(spark):
     triples = toy(spark)
     assert R.add(triples, triples).count() == 36

@@ -96,3 +96,70 @@ def carried(
         .withColumns({n: F.greatest(F.max(n).over(upto), F.col(f"_in_{n}")) for n in names})
         .drop("_bucket", *[f"_in_{n}" for n in names])
     )
+
+
+# -- open headings as a prefix scan -----------------------------------------
+
+SPAN = 256  # positions that one fold runs over
+_EFFECT = "struct<low:int,open:array<struct<level:int,title:string>>>"
+
+
+def stack_effect(level: Column, title: Column) -> Column:
+    """What one heading does to the open headings: closes those of its level or deeper, and opens itself."""
+    return F.struct(
+        level.cast("int").alias("low"),
+        F.array(F.struct(level.cast("int").alias("level"), title.alias("title"))).alias("open"),
+    )
+
+
+def _no_effect() -> Column:
+    return F.from_json(F.lit('{"low": 2147483647, "open": []}'), _EFFECT)
+
+
+def then(first: Column, second: Column) -> Column:
+    """Both effects, one after the other: what the second closes is no longer open."""
+    still = F.filter(first["open"], lambda h: h["level"] < second["low"])
+    return F.struct(
+        F.least(first["low"], second["low"]).alias("low"),
+        F.concat(still, second["open"]).alias("open"),
+    )
+
+
+def open_stacks(effects: DataFrame, key: str) -> DataFrame:
+    """(key, pos, open) with the stack of open headings after each of ``effects`` (key, pos, effect).
+
+    Effects compose associatively and an effect holds one heading for each level at most, so any number of levels
+    is one scan: spans of ``SPAN`` positions are folded side by side, their totals are scanned in the same
+    way, and each span takes what its predecessors leave open. ``pos`` is a unique integer from 0 up within
+    the key; no task sees more than one span of a key, however long it is.
+    """
+    top = effects.agg(F.max("pos")).first()[0]
+    rows = effects.select(F.col(key).alias("k"), F.col("pos").cast("long").alias("i"), F.col("effect").alias("e"))
+    done = _scanned(rows, top or 0)
+    return done.select(F.col("k").alias(key), F.col("i").alias("pos"), F.col("e.open").alias("open"))
+
+
+def _scanned(rows: DataFrame, top: int) -> DataFrame:
+    """(k, i, before, e): the effect of all earlier rows of a key, and that with the row's own."""
+    start = F.array().cast(f"array<struct<i:bigint,before:{_EFFECT},e:{_EFFECT}>>")
+
+    def step(done: Column, row: Column) -> Column:
+        before = F.coalesce(F.get(done, F.size(done) - 1)["e"], _no_effect())
+        return F.array_append(
+            done, F.struct(row["i"].alias("i"), before.alias("before"), then(before, row["e"]).alias("e"))
+        )
+
+    spans = rows.groupBy("k", F.floor(F.col("i") / SPAN).alias("span")).agg(
+        F.sort_array(F.collect_list(F.struct("i", "e"))).alias("rows")
+    )
+    spans = spans.select("k", "span", F.aggregate("rows", start, step).alias("rows"))
+    if top < SPAN:
+        return spans.select("k", F.explode("rows").alias("r")).select("k", "r.*")
+    spans = materialise(spans)
+    totals = spans.select("k", F.col("span").alias("i"), F.element_at("rows", -1)["e"].alias("e"))
+    entering = _scanned(totals, top // SPAN).select("k", F.col("i").alias("span"), F.col("before").alias("entering"))
+    each = _null_safe_join(spans, entering, ["k", "span"], ["entering"]).select("k", "entering", F.explode("rows").alias("r"))
+    return each.select(
+        "k", "r.i", then(F.col("entering"), F.col("r.before")).alias("before"),
+        then(F.col("entering"), F.col("r.e")).alias("e"),
+    )
