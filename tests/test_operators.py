@@ -141,6 +141,33 @@ def test_near_names_is_levenshtein(spark):
     assert got == {tuple(r) for r in brute.collect()}
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_near_names_of_every_length(spark, k):
+    """All pairs of short and long strings, many of them a few edits apart, nulls and empty ones."""
+    rng = random.Random(k)
+    base = ["", "a", "ab", "abc", "münchen", "a long name of a place with many words", "x" * 60]
+    names = set(base)
+    for word in base * 12:
+        letters = list(word)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.randrange(2)] = rng.choice(["", "a", "z", "é"])
+        names.add("".join(letters))
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "hay string")
+    got = {tuple(r) for r in near_names(df, df.withColumnRenamed("hay", "near"), k).collect()}
+    pairs = df.crossJoin(df.toDF("near")).withColumn("d", F.levenshtein("hay", "near")).filter(F.col("d") <= k)
+    assert got == {tuple(r) for r in pairs.collect()} and len(got) > len(names)
+
+
+def test_near_names_of_the_tables(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("hay"))
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("hay"))
+    names = parts.union(people).distinct()
+    got = {tuple(r) for r in near_names(names, names.withColumnRenamed("hay", "near")).collect()}
+    pairs = names.crossJoin(names.toDF("near")).withColumn("d", F.levenshtein("hay", "near")).filter("d <= 2")
+    assert got == {tuple(r) for r in pairs.collect()}
+
+
 def test_numbering_of_a_hot_key(spark):
     """One key owns most rows; numbers do not depend on the number of partitions."""
     rows = [("hot" if i % 10 else f"k{i}", (i * 7919) % 10007) for i in range(3000)]

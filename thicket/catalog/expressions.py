@@ -9,6 +9,7 @@ from thicket.catalog import views as W
 from thicket.catalog.registry import query
 from thicket.functions import text as X
 from thicket.operators.countries import attribute_notes
+from thicket.operators.languages import language_profiles, tagged
 from thicket.operators.ordering import numbered
 from thicket.plans.build import heading_path
 from thicket.sources.tables import clean_definitions, paragraphs_from_html
@@ -467,3 +468,23 @@ def display_texts(spark, d):
         X.format_hit("label", "definition", "country", "year", "scope", "org").alias("hit"),
         X.format_thresholds("definition", bounds).alias("bounds"),
     )
+
+
+_TAGGED_SQL = r"""WITH cut AS (SELECT doc_id, lang, string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ', '') AS c FROM documents),
+  runs AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS run FROM cut),
+  own AS MATERIALIZED (SELECT doc_id, lang, run, count(*) AS n FROM runs GROUP BY ALL),
+  learnt AS (SELECT lang, run, sum(n) AS n FROM own WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL),
+  size AS (SELECT lang, sum(n) + 0.5::DOUBLE * (SELECT count(DISTINCT run) FROM learnt) AS size FROM learnt GROUP BY lang),
+  gain AS (SELECT o.doc_id, l.lang, sum(o.n * ln((l.n + 0.5::DOUBLE) / 0.5::DOUBLE)) AS gain FROM own o JOIN learnt l USING (run) GROUP BY ALL),
+  score AS (SELECT t.doc_id, s.lang, coalesce(gain, 0) + t.n * ln(0.5::DOUBLE / size) AS score
+    FROM (SELECT doc_id, sum(n) AS n FROM own GROUP BY doc_id) t CROSS JOIN size s LEFT JOIN gain g ON g.doc_id = t.doc_id AND g.lang = s.lang)
+  SELECT d.doc_id, d.lang AS told, b.lang AS lang FROM documents d LEFT JOIN
+    (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1) b USING (doc_id)"""
+
+
+@query("P23", _TAGGED_SQL)
+def document_languages_by_profile(spark, d):
+    """Profiles are counted on four fifths of the labelled documents and tag all of them."""
+    docs = W.load(spark, d, "documents").select("doc_id", "lang", "text")
+    found = tagged(docs, language_profiles(docs.where("doc_id % 5 <> 0")))
+    return docs.select("doc_id", F.col("lang").alias("told")).join(found.select("doc_id", "lang"), "doc_id")

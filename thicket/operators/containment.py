@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.session import materialise
@@ -71,35 +71,60 @@ def keyword_hits(keywords: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("uri", F.explode("found.needle").alias("keyword"))
 
 
-def deletions(text, k: int):
-    """Distinct strings left after removing up to ``k`` characters."""
+def _segment(length: Column, i: Column, k: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of a string cut into k + 1 nearly equal ones."""
+    base, longer = F.floor(length / (k + 1)), length % (k + 1)
+    first_longer = F.lit(k + 1) - longer
+    return i * base + F.greatest(i - first_longer, F.lit(0)), base + (i >= first_longer).cast("int")
 
-    def without_one(word):
+
+def _stored_segments(text: Column, k: int) -> Column:
+    """(length, segment, part) of a string's k + 1 segments."""
+    length = F.length(text)
+
+    def part(i: Column) -> Column:
+        start, size = _segment(length, i, k)
+        return F.struct(length.alias("length"), i.alias("segment"), F.substring(text, start + 1, size).alias("part"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), part)
+
+
+def _asked_segments(text: Column, k: int) -> Column:
+    """(length, segment, part) that a string within ``k`` edits of ``text`` may have stored.
+
+    Of k + 1 segments one stays whole with at most ``i`` edits left and ``k - i`` right of it, so it lies at most that
+    far from its place: about (k + 1) ** 3 / 2 parts at most, whatever the length of the text.
+    """
+    own = F.length(text)
+
+    def parts(length: Column, i: Column) -> Column:
+        start, size = _segment(length, i, k)
+        more = own - length
+        low = F.greatest(start - i, start + more - (k - i), F.lit(0))
+        high = F.least(start + i, start + more + (k - i), own - size)
         cut = F.transform(
-            F.sequence(F.lit(1), F.length(word)),
-            lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substr(word, i + 1)),
+            F.sequence(low, F.greatest(low, high)),
+            lambda at: F.struct(length.alias("length"), i.alias("segment"), F.substring(text, at + 1, size).alias("part")),
         )
-        return F.when(F.length(word) > 0, cut).otherwise(F.array().cast("array<string>"))
+        return F.when(low <= high, cut)
 
-    level = F.array(text)
-    seen = level
-    for _ in range(k):
-        level = F.array_distinct(F.flatten(F.transform(level, without_one)))
-        seen = F.array_union(seen, level)
-    return seen
+    lengths = F.sequence(F.greatest(own - k, F.lit(0)), own + k)
+    every = F.transform(lengths, lambda n: F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: parts(n, i)))))
+    return F.array_distinct(F.flatten(every))
 
 
 def near_names(names: DataFrame, dim: DataFrame, k: int = 2) -> DataFrame:
     """(hay, near, distance) pairs of names within ``k`` edits.
 
-    Two strings that close share a string left after at most ``k`` deletions
-    from each, so candidates come from an equality join and are then measured.
+    A name of ``dim`` is cut into k + 1 segments, one of which ``k`` edits must leave whole; ``names`` look for it
+    near its place. So candidates come from an equality join on (length, segment, part) with k + 1 rows for a stored
+    name and, for two edits, at most 19 for an asked one, however long they are; only candidates are measured.
+    Nulls are near nothing.
     """
-    left = names.select("hay").distinct()
-    right = dim.select("near").distinct()
-    left = left.select("hay", F.explode(deletions(F.col("hay"), k)).alias("rest"))
-    right = right.select("near", F.explode(deletions(F.col("near"), k)).alias("rest"))
-    pairs = left.join(right, "rest").select("hay", "near").distinct()
-    return pairs.withColumn("distance", F.levenshtein("hay", "near")).filter(
-        F.col("distance") <= k
-    )
+    left = names.select("hay").where("hay IS NOT NULL").distinct()
+    right = dim.select("near").where("near IS NOT NULL").distinct()
+    left = left.select("hay", F.explode(_asked_segments(F.col("hay"), k)).alias("s")).select("hay", "s.*")
+    right = right.select("near", F.explode(_stored_segments(F.col("near"), k)).alias("s")).select("near", "s.*")
+    pairs = left.join(right, ["length", "segment", "part"]).select("hay", "near").distinct()
+    measured = pairs.withColumn("distance", F.levenshtein("hay", "near", k))
+    return measured.filter(F.col("distance") >= 0)
