@@ -44,7 +44,7 @@ BETWEEN, NUM, NAME, UNIT, LAST = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005
 SPACE = r"[\x20\x09-\x0D]+"
 MARKS = r"!-/:-@\[-`{-~"
 _UNIT = "|".join(UNITS)
-_NUMBER = rf"[0-9](?:[0-9.,:/]*[0-9])?(?:{_UNIT})?"
+_NUMBER = rf"[0-9](?<![^\x20].)(?:[0-9.,:/]*[0-9])?(?:{_UNIT})?"
 
 
 def _spaced(text: Column) -> Column:
@@ -55,9 +55,10 @@ def _spaced(text: Column) -> Column:
 def template(text: Column) -> Column:
     """The template words with one space between them, as many as the text has; a placeholder is one of
     ``NUM``, ``NAME`` and ``UNIT``, with the value that it stands for behind it."""
-    out = F.regexp_replace(_spaced(text), rf"(?<=[^.!?:'\")\]\x20]\x20)[{MARKS}]*(\p{{Lu}}\p{{Ll}}[^\x20]*)", f"{NAME}$1")
-    out = F.regexp_replace(F.lower(out), rf"(?<![^\x20])[{MARKS}]+(?=[^\x20{MARKS}])|(?<=[^\x20{MARKS}])[{MARKS}]+(?![^\x20])", "")
-    with_numbers = F.regexp_replace(out, rf"(?<![^\x20])({_NUMBER})(?![^\x20])", f"{NUM}$1")
+    # every pattern begins with the character it replaces, and looks back from there
+    out = F.regexp_replace(_spaced(text), rf"\x20(?<=[^.!?:'\")\]\x20]\x20)[{MARKS}]*(\p{{Lu}}\p{{Ll}}[^\x20]*)", f" {NAME}$1")
+    out = F.regexp_replace(F.lower(out), rf"[{MARKS}](?:(?<![^\x20].)[{MARKS}]*+(?=[^\x20])|(?<=[^\x20{MARKS}].)[{MARKS}]*+(?![^\x20]))", "")
+    with_numbers = F.regexp_replace(out, rf"({_NUMBER})(?![^\x20])", f"{NUM}$1")
     with_units = F.regexp_replace(with_numbers, rf"({NUM}[^\x20]+\x20)({_UNIT})(?![^\x20])", f"$1{UNIT}$2")
     return F.when(F.coalesce(text, F.lit("")).rlike("[0-9]"), with_units).otherwise(out)
 
