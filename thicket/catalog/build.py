@@ -20,6 +20,7 @@ from thicket.catalog.retrieval import (
     _index,
     scored_cte,
 )
+from thicket.operators.changes import GraphStore, read_graph
 from thicket.operators.ordering import numbered
 from thicket.plans import build as B
 from thicket.session import shared_folder
@@ -148,6 +149,19 @@ def definition_triples(spark, d):
     return B.definitions_to_triples(records(spark, d), W.countries(spark, d))
 
 
+@query(
+    "G10 W2",
+    RECORDS.rstrip() + "," + _MINT + "," + _DEF_TRIPLES + " SELECT DISTINCT * FROM deft",
+)
+def graph_of_added_records(spark, d):
+    """The records in two batches: the last tenth is added to the stored graph of those before."""
+    rows, places, store = records(spark, d), W.countries(spark, d), GraphStore(scratch(spark, "added-records"))
+    last = F.col("pos") > rows.count() * 9 // 10
+    B.add_records(store, rows.where(~last), places)
+    B.add_records(store, rows.where(last), places)
+    return read_graph(spark, store)
+
+
 @query(
     "G6 J13",
     W.with_sql(W.BASE_SQL, W.COUNTRY_SQL, RESOLVE_SQL)

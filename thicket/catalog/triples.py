@@ -11,8 +11,9 @@ from thicket.catalog.registry import query
 from thicket.functions import text as X
 from thicket.operators import stats as A
 from thicket.operators import triples as T
+from thicket.operators.changes import GraphStore, additions, apply_changes, changes_of, read_graph
 from thicket.operators.ordering import first_n
-from thicket.plans.build import revise_graph
+from thicket.plans.build import revise_graph, revise_stored
 from thicket.sources import tables as S
 
 KG = W.with_sql(W.KG_SQL)
@@ -399,8 +400,7 @@ def vocabulary_definitions(spark, d):
     return S.enrich_from_vocab(triples, links.unionByName(texts)).select("s", "p", "o")
 
 
-@query(
-    "G11 J18 J6 U3",
+_REVISED = (
     KG
     + f""", moved AS (SELECT o AS uri FROM kg WHERE {_p(V.MEMBER)} AND s = '{KP}' AND o <> '{PARENT}'),
     r1 AS (SELECT s, p, o, o_kind, lang, dtype FROM kg WHERE NOT ({_p(V.BROAD_MATCH)} AND o IN ({_TOP_LIST})
@@ -416,10 +416,39 @@ def vocabulary_definitions(spark, d):
     + _DEPTH_SQL
     + f"""SELECT DISTINCT s, p, CASE WHEN {_p(V.DEFINITION)} THEN CASE WHEN done.c = '' THEN o ELSE done.c END
       ELSE o END AS o, o_kind, lang, dtype FROM (SELECT r3.s, r3.p, r3.o, r3.o_kind, r3.lang, r3.dtype, done.c
-      FROM r3 LEFT JOIN done ON r3.{_p(V.DEFINITION)} AND done.id = r3.o) done""",
+      FROM r3 LEFT JOIN done ON r3.{_p(V.DEFINITION)} AND done.id = r3.o) done"""
 )
+_REVISION = {"coll": KP, "parent": PARENT, "concept": V.EX + "MACHINERY", "tops": [V.EX + t for t in _TOPS]}
+
+
+@query("G11 J18 J6 U3", _REVISED)
 def revised_graph(spark, d):
-    return revise_graph(
-        W.kg_triples(spark, d), coll=KP, parent=PARENT, concept=V.EX + "MACHINERY",
-        tops=[V.EX + t for t in _TOPS],
-    )
+    return revise_graph(W.kg_triples(spark, d), **_REVISION)
+
+
+def _revised_store(spark, d):
+    def write(path):
+        apply_changes(GraphStore(path), additions(W.kg_triples(spark, d)), 0)
+        revise_stored(spark, GraphStore(path), 1, **_REVISION)
+
+    return GraphStore(W.stored_once(spark, d, "graph-versions", write))
+
+
+@query("G11 U3 G10", _REVISED)
+def revised_by_changes(spark, d):
+    return read_graph(spark, _revised_store(spark, d))
+
+
+@query("U2 U3", KG + "SELECT DISTINCT s, p, o, o_kind, lang, dtype FROM kg")
+def graph_before_changes(spark, d):
+    return read_graph(spark, _revised_store(spark, d), 0)
+
+
+@query(
+    "G11 U2 U3",
+    f"""WITH rev AS ({_REVISED}), kgs AS ({KG} SELECT s, p, o, o_kind, lang, dtype FROM kg)
+    SELECT *, 'add' AS change FROM (FROM rev EXCEPT FROM kgs)
+    UNION ALL SELECT *, 'remove' AS change FROM (FROM kgs EXCEPT FROM rev)""",
+)
+def changed_triples(spark, d):
+    return changes_of(spark, _revised_store(spark, d), 0)
