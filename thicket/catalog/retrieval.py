@@ -535,8 +535,41 @@ def criteria_for_questions(spark, d):
     # a word followed by a space, as the last word of a question carries a mark
     last = asked.select("qid", F.element_at(F.split("query", " "), -1).alias("country"))
     places = named.join(last, ["qid", "country"], "left_anti").join(T.country_names(triples), "country")
-    rows = T.criteria(triples).join(places.select("qid", "country_uri"), "country_uri")
-    return T.filter_by_question(rows, asked).select("qid", "uri")
+    places, rows = places.select("qid", "country_uri"), materialise(T.criteria(triples))
+    ranges = materialise(T.stated_ranges(asked).drop("query").join(places, "qid"))
+    met = T.criteria_meeting(rows, ranges, ["country_uri"], ["uri", "country_uri"])
+    free = places.join(ranges, "qid", "left_anti")  # questions that state no threshold take every row
+    return met.select("qid", "uri").union(rows.join(free, "country_uri").select("qid", "uri"))
+
+
+_ASKED = W.with_sql(W.KG_SQL, W.ASK_SQL, filters_cte("ask"), CRITERIA_SQL)
+_FIELDS = "(SELECT DISTINCT uri, minArea, minCrown, minHeight, minWidth, maxArea, maxCrown, maxHeight, maxWidth FROM crit) c"
+
+
+@query(
+    "F10 F11 N5",
+    _ASKED + f"""SELECT qid, uri, field, bound FROM (SELECT qid, uri, field, op, value, {_BOUND_CASE} AS bound
+      FROM filters, {_FIELDS} WHERE field IS NOT NULL) WHERE CASE op WHEN 'le' THEN bound <= value ELSE bound >= value END""",
+)
+def criteria_in_stated_ranges(spark, d):
+    """The ranges that questions state against every criterion of the graph, whatever its country."""
+    rows = T.criteria(W.kg_triples(spark, d)).select("uri", *T.LOWER_BOUNDS).distinct()
+    ranges = materialise(T.stated_ranges(W.template_questions(spark, d)).drop("query"))
+    return T.criteria_meeting(rows, ranges, [], ["uri"]).select("qid", "uri", "field", "bound")
+
+
+@query(
+    "F10 F11 N5",
+    _ASKED + f"""SELECT qid, uri, field, bound, upper FROM (SELECT qid, uri, field, op, value, {_BOUND_CASE} AS bound,
+      {_BOUND_CASE.replace('THEN min', 'THEN max')} AS upper FROM filters, {_FIELDS} WHERE field IS NOT NULL)
+      WHERE coalesce(bound, upper) IS NOT NULL AND coalesce(bound <= upper, true)
+      AND CASE op WHEN 'le' THEN coalesce(bound <= value, true) ELSE coalesce(upper >= value, true) END""",
+)
+def criteria_overlapping_stated_ranges(spark, d):
+    """As above, by the whole range of a criterion, from its lower to its upper bound."""
+    rows = T.criteria(W.kg_triples(spark, d)).select("uri", *T.PROPERTIES).distinct()
+    ranges = materialise(T.stated_ranges(W.template_questions(spark, d)).drop("query"))
+    return T.criteria_overlapping(rows, ranges, ["uri"]).select("qid", "uri", "field", "bound", "upper")
 
 
 # -- enrichment and complete retrieval --------------------------------------

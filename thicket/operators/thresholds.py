@@ -14,6 +14,7 @@ from thicket.operators.countries import (
     threshold_context,
 )
 from thicket.operators.ordering import dedupe_best, first_n, numbered, top_k
+from thicket.operators.ranges import overlapping_ranges, points_in_ranges
 from thicket.operators.triples import TEXT_LANGS, lang_in, match, members
 from thicket.session import materialise
 
@@ -152,6 +153,43 @@ def filter_by_question(df: DataFrame, questions: DataFrame, legacy: bool = False
     return df.join(parsed, "qid").filter(passes_threshold(F.col("_threshold"))).drop("_threshold")
 
 
+def stated_ranges(questions: DataFrame, legacy: bool = False) -> DataFrame:
+    """The columns of ``questions`` with the field and the range (low, high) that each one's threshold states;
+    questions without a threshold are left out."""
+    parsed = questions.withColumn("_t", Q.detect_threshold("query", legacy))
+    value = F.col("_t.value")
+    return parsed.filter(F.col("_t.op").isin("le", "ge") & value.isNotNull()).select(
+        *questions.columns, F.col("_t.field").alias("field"),
+        F.when(F.col("_t.op") == "ge", value).alias("low"), F.when(F.col("_t.op") == "le", value).alias("high"),
+    )
+
+
+def _by_field(rows: DataFrame, keep: list[str], pairs: dict[str, tuple[str, ...]]) -> DataFrame:
+    """A row for each field of ``pairs`` that is present, with its numbers as ``bound`` and ``upper``."""
+    fields = F.array(*[
+        F.struct(F.lit(f).alias("field"), *[F.col(c).try_cast("double").alias(n) for c, n in zip(cs, ("bound", "upper"))])
+        for f, cs in pairs.items()
+    ])
+    return rows.select(*keep, F.explode(fields).alias("_f")).select(*keep, "_f.*")
+
+
+def criteria_meeting(rows: DataFrame, ranges: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+    """F11 for any number of questions: (keep, field, bound, columns of ``ranges``) of the criteria ``rows`` whose
+    lower bound lies in the range asked for, among those of equal ``keys``. No question meets a row that it
+    does not match."""
+    bounds = _by_field(rows, keep, {f: (f,) for f in LOWER_BOUNDS}).filter(F.col("bound").isNotNull())
+    return points_in_ranges(materialise(bounds), ranges, ["field", *keys], "bound")
+
+
+def criteria_overlapping(rows: DataFrame, ranges: DataFrame, keep: list[str]) -> DataFrame:
+    """F10 with both bounds: (keep, field, bound, upper, columns of ``ranges``) of the criteria whose range from
+    the lower to the upper bound shares a number with the range asked for. A criterion without either bound of the
+    field has no range."""
+    pairs = {f: (f, f.replace("min", "max")) for f in LOWER_BOUNDS}
+    stored = _by_field(rows, keep, pairs).filter(F.col("bound").isNotNull() | F.col("upper").isNotNull())
+    return overlapping_ranges(materialise(stored), ranges, ["field"], "bound", "upper")
+
+
 # -- graph context ----------------------------------------------------------
 
 
