@@ -195,3 +195,23 @@ def test_edge_rows(spark):
     same = [tuple(r)[1:] for r in got.where("n_bytes = 0").collect()]
     assert len(same) == 3 and len(set(same)) == 1
     assert m.media_table(df.limit(0)).count() == 0
+
+
+def test_stored_column(spark, tmp_path):
+    rows = [(1, None), (2, "é" * 288), (3, "x" * 3_000_000), (4, "short")]
+    media = m.media_column(spark.createDataFrame(rows, "id long, body string"), "id", "body", str(tmp_path / "media"))
+    again = spark.read.parquet(str(tmp_path / "media" / "files"))  # the files are there for later readers
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, media.collect()))
+    for r in again.collect():
+        (image,) = m.decode([bytes(r.media)])
+        assert m.payload_of(image)[: r.n_bytes] == (dict(rows)[r.doc_id] or "").encode()
+    got = {r.doc_id: r for r in m.read_back(again).collect()}
+    assert sorted((tuple(r)[:5] for r in got.values()), key=str) == brute(rows)
+    described = {r.doc_id: r for r in m.describe(media).collect()}
+    assert all((r.width, r.height, r.feature) == (described[i].width, described[i].height, described[i].feature) for i, r in got.items())
+    assert all(r.feature.split(":")[1] == r.thumbnail for r in got.values())
+
+
+def test_runs_of_files():
+    files = [b"a" * n for n in (5, 5, 30, 1, 1, 9)]
+    assert list(m._together(files, 10)) == [(0, 2), (2, 3), (3, 5), (5, 6)] and list(m._together([], 10)) == []

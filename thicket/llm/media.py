@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm._text import chunks
+from thicket.llm._store import shared_folder, stored, tidy
+from thicket.llm._text import CHUNK_BYTES, chunks
 
 UNIT = 576
 WIDTH = 3
@@ -303,32 +304,64 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
 
-def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text as a file, reads the file back and describes it.
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Each text as a baseline file, stored: doc_id, n_bytes (of the text), media.
 
-    Per row: doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of what was read back), media_bytes,
-    media_sha256, feature. Null and empty texts are one unit of padding. Ids are passed on as they
-    are, repeated and null ones too; other columns are not read.
+    Null and empty texts are one unit of padding. Ids are passed on as they are, repeated and null ones too;
+    other columns are not read. The table lies below ``folder``, or ``spark.checkpoint.dir``.
     """
+    folder = folder or shared_folder(docs.sparkSession, "media")
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in chunks(batch.column(1)):
                 data = raw.tobytes()
                 texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                files = [encode_payload(padded(t)) for t in texts]
-                rows = []
-                for text, file, image in zip(texts, files, decode(files), strict=True):
-                    back = payload_of(image)
-                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(image)))
-                kinds = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *columns], names=names)
+                files = pa.array([encode_payload(padded(t)) for t in texts], pa.binary())
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in texts], pa.int64()), files], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored(rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary"), f"{folder}/files")
+
+
+def _together(files: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of runs of files of about ``limit`` bytes; a longer file is a run of its own."""
+    lo, size = 0, 0
+    for k, file in enumerate(files):
+        if k > lo and size + len(file) > limit:
+            yield lo, k
+            lo, size = k, 0
+        size += len(file)
+    if lo < len(files):
+        yield lo, len(files)
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """What the files of ``media_column`` hold: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
+    media_bytes, media_sha256, feature, width, height, thumbnail (its hash)."""
+    kind = media.schema["doc_id"].dataType.simpleString()
+    fields = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "width": pa.int32(), "height": pa.int32(), "thumbnail": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.column("media").to_pylist()
+            for lo, hi in _together(files):
+                rows = []
+                for file, image in zip(files[lo:hi], decode(files[lo:hi]), strict=True):
+                    back, said = payload_of(image), feature(image)
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), said, image.width, image.height, said.split(":")[1]))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.values(), strict=True)]
+                some = batch.slice(lo, hi - lo)
+                yield pa.record_batch([some.column("doc_id"), some.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *fields])
+
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumbnail string"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), schema)
+
+
+def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Stores each text as a file (``media_column``), and describes what the stored files hold (``read_back``)."""
+    return read_back(media_column(docs, id_col, text_col, folder))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
