@@ -79,3 +79,28 @@ def test_regression_finds_the_optimum():
     p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
     assert np.allclose(x.T @ (y - p) - 0.1 * w[1:], 0, atol=1e-5)
     assert w[1] == pytest.approx(2, abs=0.5)
+
+
+def test_long_words_and_many_terms(spark):
+    rng = np.random.default_rng(6)
+    terms = sorted({"".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(1500)})
+    trie = tx.LevenshteinTrie([*(t.encode() for t in terms), b"moron"], stems={len(terms)})
+    words = [*terms[::7], *(t[1:] for t in terms[::11]), "moron" + "x" * 5000, "moro" + "x" * 5000, "q" * 100_000]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    got = trie.match(raw, *tx._bounds(raw, np.array([0, len(raw)]))).tolist()
+    n, m = len(terms[::7]), len(terms[::11])
+    assert got[:n] == [2 * k for k in range(0, len(terms), 7)]
+    assert got[n : n + m] == [2 * k + 1 for k in range(0, len(terms), 11)]
+    assert got[n + m :] == [2 * len(terms), -1, -1]
+    assert len(trie.sets) < 40 * len(words)  # sets of states that no word reaches are not made
+    docs = spark.createDataFrame([(i, f"{t} here {i}") for i, t in enumerate(terms[:100] * 12)], "doc_id long, text string")
+    clean = spark.createDataFrame([(i, f"fine words {i} of the day") for i in range(2000, 2800)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 as toxic").union(clean.selectExpr("doc_id", "0 as toxic"))
+    learned = tx.train(docs.union(clean), labels)
+    assert len(learned.terms) > 64
+    assert all(r.predicted == (r.doc_id < 1200) for r in tx.score(docs.union(clean), learned).collect())
+
+
+def test_empty_table(spark):
+    docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    assert tx.score(docs, tx.train(docs, labels)).count() == 0

@@ -1,9 +1,9 @@
 """Toxicity: misspelled lexicon terms by Levenshtein automata, weighed by their context.
 
 * The lexicon is learned: words that toxic training texts have and clean ones do not, and stems of words,
-  which stand for every word that begins so; the most frequent ``TERMS`` of them, as a trie.
+  which stand for every word that begins so; all that are pure and frequent enough, as a trie.
 * ``LevenshteinTrie`` intersects the trie with the Levenshtein automata of all inputs at once: a state is the set
-  of (node, errors) that an input can have reached, and states are made deterministic into one table. Terms
+  of (node, errors) that an input can have reached, and sets that inputs reach are made rows of one table. Terms
   of ``FUZZY_FROM`` letters and more may have one error (insertion, deletion, substitution, swap). A task
   runs all words of its texts through the table side by side, a byte a step.
 * Each hit is a quotation or an abuse by its context window: quotation marks open around it or a word of
@@ -27,7 +27,6 @@ from thicket.llm._text import chunks
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 4000
-TERMS = 64
 LEAST_TEXTS = 5
 PURITY = 0.97
 STEMS = (4, 5, 6, 7)
@@ -131,29 +130,49 @@ class LevenshteinTrie:
         found = [(e, self.term[n]) for n, e, o in states if not o and self.term[n] >= 0 and (e == 0 or self.lengths[self.term[n]] >= self.fuzzy_from)]
         return min(found)[1] * 2 + min(found)[0] if found else -1
 
+    def _row(self, states: frozenset[tuple[int, int, int]]) -> int:
+        """The number of a set of states, with a row of the table whose steps are not known yet."""
+        if states not in self.number:
+            n = self.number[states] = len(self.sets)
+            self.sets.append(states)
+            if n == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.accepted = np.concatenate([self.accepted, np.full_like(self.accepted, -1)])
+            self.accepted[n] = self._accepted(states)
+        return self.number[states]
+
     def _determinise(self, letters: list[int]) -> None:
-        start = self._closure({(0, 0, 0)})
-        number, waiting, table, accepted = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [-1]
-        while waiting:
-            states, row = waiting.pop(0), []
-            for c in (0, *letters):  # 0: any letter that no term has
-                after = self._step(states, c)
-                if after not in number:
-                    number[after] = len(number)
-                    waiting.append(after)
-                row.append(number[after])
-            table.append(row)
-            accepted.append(self._accepted(states))
-        self.table, self.accepted = np.array(table, np.int32), np.array(accepted, np.int32)
+        """Starts the table: rows and steps are added when an input first needs them, so a large lexicon
+        costs what the texts use of it. Row 0 is the dead state."""
+        self.symbols = [0, *letters]  # 0: any letter that no term has
+        self.table, self.accepted = np.full((1024, len(self.symbols)), -1, np.int32), np.full(1024, -1, np.int32)
+        self.number, self.sets = {}, []
+        self._row(frozenset())
+        self.table[0] = 0
+        self._row(self._closure({(0, 0, 0)}))
+
+    def _after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        out = self.table[state, symbol]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            for key in np.unique(state[new].astype(np.int64) * len(self.symbols) + symbol[new]).tolist():
+                n, k = divmod(key, len(self.symbols))
+                self.table[n, k] = self._row(self._step(self.sets[n], self.symbols[k]))
+            out = self.table[state, symbol]
+        return out
 
     def match(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each word its term's number twice, plus its errors; -1 where it is none."""
+        """For each word its term's number twice, plus its errors; -1 where it is none.
+
+        Beyond the longest term's bytes and one error only stems go on, whatever follows, so the rest of
+        a longer word is not read.
+        """
         out = np.full(len(starts), -1, np.int32)
-        live = np.flatnonzero(ends - starts <= LONGEST)
+        live = np.arange(len(starts))
         symbol, state = self.letter[_FOLD[raw]] if len(raw) else np.zeros(0, np.int64), np.ones(len(live), np.int32)
-        at, end = starts[live], ends[live]
+        at, end = starts[live], np.minimum(ends, starts + max(LONGEST, max(self.lengths) + 2))[live]
         while len(live):
-            state = self.table[state, symbol[at]]
+            state = self._after(state, symbol[at])
             at = at + 1
             done = at == end
             out[live[done]] = self.accepted[state[done]]
@@ -232,8 +251,6 @@ def _lexicon(rows: list) -> tuple[list[tuple[str, float]], set[int]]:
     covers, and no stem that one word makes up."""
     terms, stems, texts = [], [], {}
     for r in rows:
-        if len(terms) == TERMS:
-            break
         if any(r.word.startswith(s) for s in stems) or r.stem and any(w.startswith(r.word) and n >= 0.6 * r.t for w, n in texts.items()):
             continue
         if r.stem:
@@ -267,12 +284,13 @@ def train(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Clas
             toxic = np.array(batch.column(1).to_pylist(), np.int32)
             for lo, hi, raw, offsets in chunks(batch.column(0)):
                 starts, ends = _bounds(raw, offsets)
-                keep = (ends - starts >= 3) & (ends - starts <= LONGEST)
+                keep = ends - starts >= 3
                 starts, ends = starts[keep], ends[keep]
                 row, data = np.searchsorted(offsets, starts, "right") - 1, _FOLD[raw].tobytes()
                 whole = {(r, data[s:e]) for r, s, e in zip(row.tolist(), starts.tolist(), ends.tolist(), strict=True)}
-                found = [(r, w.decode(errors="replace"), False) for r, w in whole]
-                found += {(r, w[:n], True) for r, w, _ in found for n in STEMS if len(w) > n}
+                every = [(r, w.decode(errors="replace")) for r, w in whole]
+                found = [(r, w, False) for r, w in every if len(w) <= LONGEST]
+                found += {(r, w[:n], True) for r, w in every for n in STEMS if len(w) > n}
                 yield pa.record_batch([pa.array([w for _, w, _ in found], pa.string()), pa.array([k for _, _, k in found], pa.bool_()), pa.array(toxic[lo:hi][[r for r, _, _ in found]] if found else [], pa.int32())], names=["word", "stem", "toxic"])
 
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -281,8 +299,8 @@ def train(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Clas
     of = sample.mapInArrow(words, "word string, stem boolean, toxic int").groupBy("word", "stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     rate, other = F.col("t") / n[1], F.col("c") / n[0]
     of = of.where((F.col("t") >= F.when(F.col("stem"), LEAST_STEM_TEXTS).otherwise(LEAST_TEXTS)) & (rate / (rate + other) >= PURITY)).withColumn("weight", F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1)))
-    classifier = Classifier(*_lexicon(of.orderBy(F.desc("t"), "stem", "word").limit(8 * TERMS).collect()))
-    sent = docs.sparkSession.sparkContext.broadcast(classifier)  # bounded by TERMS
+    classifier = Classifier(*_lexicon(of.orderBy(F.desc("t"), "stem", "word").collect()))  # words of at least LEAST_TEXTS of the sample's texts
+    sent = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +324,7 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
     Null and empty texts have no hits, and the score of such texts. Repeated and null ids are rows of their
     own; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(classifier)  # bounded by TERMS
+    sent = docs.sparkSession.sparkContext.broadcast(classifier)  # its lexicon is bounded by the sample of labelled texts
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
