@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """Writes rows as Parquet and reads them back: cuts the lineage and keeps columns prunable.
 
     Texts are long, so Arrow batches are kept to ``BATCH_ROWS`` rows meanwhile, which bounds what a Python
@@ -38,7 +38,7 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     before = conf.get(key)
     conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

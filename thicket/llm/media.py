@@ -322,7 +322,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in texts], pa.int64()), files], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary"), f"{folder}/files")
+    return stored(rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary"), f"{folder}/files", "zstd")
 
 
 def _together(files: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
