@@ -29,6 +29,33 @@ def test_threshold_scan(spark):
     assert rows.filter("crown_cover <= 30").count() == 162
 
 
+HEAD = ",".join(M.THRESHOLD_FILE.fieldNames())
+FILES = {
+    "b.csv": [
+        "Some caption,Some caption,,,,,,Table 3 some caption,,False",
+        'Alphaland,Forest,0.5-1,10-30,"2, 3 or 5",nan,"a note, with commas",Alphaland,Forest,False',
+        'Betaland,nan,>1,nan,nan,20,"two\nlines and ""quotes""",Betaland,nan,True',
+        "nobody,x,1,1,1,1,,nan,,False",
+        "Gammaland,,nan,nan,nan,nan,nan,Gammaland,,",
+    ],
+    "a.csv": [f"L{i},Forest,{i},10,5,nan,nan,L{i},Forest,{i % 2 == 0}" for i in range(500)],
+}
+
+
+@pytest.mark.parametrize("order", [("a.csv", "b.csv"), ("b.csv", "a.csv")])
+def test_places_in_files(spark, tmp_path, order):
+    for name in order:  # the larger file goes first to a task, whatever its name
+        (tmp_path / name).write_text("\n".join([HEAD, *FILES[name]]) + "\n")
+    rows = {r.pos: r for r in S.read_thresholds(spark, str(tmp_path)).collect()}
+    named = [*range(500), 501, 502, 504]  # the caption and the row without a country have places, too
+    assert sorted(rows) == named
+    assert [rows[i].country for i in range(500)] == [f"L{i}" for i in range(500)]
+    a, b, c = rows[501], rows[502], rows[504]
+    assert (a.country, a.area_ha, a.crown_cover, a.width_m, a.notes) == ("Alphaland", 0.5, 10.0, None, "a note, with commas")
+    assert (b.country, b.is_unfccc, b.width_m, b.notes) == ("Betaland", True, 20.0, 'two\nlines and "quotes"')
+    assert (c.country, c.area_ha, c.is_unfccc, c.notes) == ("Gammaland", None, False, "")
+
+
 def test_triple_escapes(spark, tmp_path):
     rows = [
         ("http://a/x", "http://a/p", 'say "hi" \\ there\nnext\tcol', "literal", "en", None),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from thicket import schemas as M
 from thicket import vocab as V
 from thicket.functions import text as X
-from thicket.operators.ordering import dedupe_best
+from thicket.operators.ordering import dedupe_best, numbered
 from thicket.operators.triples import lang_matches, match, term, unpivot_terms
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
@@ -88,9 +88,18 @@ def threshold_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_thresholds_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Text rows of the threshold file with their place in it."""
+    """Text rows of the threshold file, or of a folder of files, with their place from 0 up.
+
+    Places follow the name of the file, the block and the row in it, whichever way Spark deals files to
+    tasks: a block is read by one task in order, so the rows' running id is their order within it.
+    """
     raw = spark.read.options(nullValue="nan", **CSV_OPTIONS).schema(M.THRESHOLD_FILE).csv(path)
-    return raw.withColumn("pos", F.monotonically_increasing_id())
+    placed = raw.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    rows = numbered(placed, [], ["_file", "_start", "_row"], "pos")
+    return rows.withColumn("pos", F.col("pos") - 1).drop("_file", "_start", "_row")
 
 
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
