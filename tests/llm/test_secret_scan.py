@@ -122,3 +122,19 @@ def test_runs_of_letters_or_digits_are_scored(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ss.scan(empty).count() == 0
+
+
+def test_formats_are_learned_from_all_values(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, f"token = '{v}' " + "word" * (5 + i % 3)) for i, v in enumerate(values(rng, "0123456789abcdefXYZ", 900, 30))]
+    rows += [(2000, "token = '" + "q7" * 100 + "'"), (2001, None)]
+    found = ss._found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = ss.learn(found, str(tmp_path))
+    every = [ss.ASSIGN.search(t)[2] for _, t in rows if t]
+    automaton = got.kinds["assign"]
+    assert sum(automaton.ends[automaton._state(k)] for k in {automaton._state(k) for k in range(len(automaton.ends))}) == len(set(every)) == 901
+    assert sum(automaton.visits[k] for k in set(map(automaton._state, range(len(automaton.ends))))) == sum(len(v) + 1 for v in every)
+    hexes = [h for v in every for h in re.findall("[0-9a-f]{24,}", v)]
+    plain = ["word" * k for k in (5, 6, 7)]
+    want = ss.Formats({"assign": sorted(set(every)), "hex": sorted(set(hexes))}, plain)
+    assert got.threshold == want.threshold

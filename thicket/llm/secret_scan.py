@@ -1,10 +1,12 @@
 """Secret scans: patterns, and formats learned by grammar inference.
 
 Three patterns give the base spans. Their values are the labelled credentials from which the formats are
-learned: for each kind a prefix tree of a bounded sample of distinct values, whose states are merged wherever
-their frequencies of ending and of going on are compatible (Hoeffding bound), the most frequent first, each
-with the states that were kept before. What remains is a probabilistic automaton. One more is learned from
-long words and long numbers, runs of letters only or of digits only: the background.
+learned, all distinct ones: for each kind an automaton whose states are the last ``HISTORY`` symbols read, the
+start of a value being one, with counts of what follows them, summed in tasks. There are at most as many
+states as such histories, however many values. States are merged wherever their frequencies of ending
+and of going on are compatible (Hoeffding bound), the most frequent first, each with the states that were kept
+before. What remains is a probabilistic automaton. One more is learned from long words and long
+numbers, runs of letters only or of digits only: the background.
 
 Every candidate, a piece of 16 or more characters of ``A-Za-z0-9+/_.=-`` that base spans leave of a run of such
 characters, is scored by the automata: the largest log2 likelihood of a format less that of the
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from thicket.llm._store import shared_folder, stored
 
 KINDS = ("assign", "access", "hex")
+PLAIN = "plain"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -32,10 +36,13 @@ WORDS = ("passw", "secret", "token", "api")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 LEAST_RUN = 16
-SAMPLE = 400
-LONGEST_SAMPLE = 128
+#: Symbols that a state remembers before states are merged.
+HISTORY = 3
+#: Steps of a bit in which scores are counted for the threshold.
+STEPS = 1024
 ALPHA = 0.05
 SMOOTH = 0.05
+START, END = "^", "$"
 #: Symbols of the automata: classes of characters.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_-", ".", "=")
 CLASS_OF = {ord(c): chr(97 + k) for k, chars in enumerate(CLASSES) for c in chars}
@@ -77,34 +84,45 @@ def symbols(value: str) -> str:
     return value.translate(CLASS_OF)
 
 
+def followers(value: str) -> Iterator[tuple[str, str]]:
+    """(history, symbol) of each place in a value, the end being one."""
+    word = START + symbols(value) + END
+    return ((word[max(0, i - HISTORY) : i], word[i]) for i in range(1, len(word)))
+
+
 class Automaton:
-    """A probabilistic automaton: for each state its visits, its ends, and the next state by symbol."""
+    """A probabilistic automaton: for each state its visits, its ends, and the next state by symbol.
+
+    It is learned from ``values``, or from ``counts`` of what ``followers`` gives for them.
+    """
 
-    def __init__(self, values: list[str], alpha: float = ALPHA) -> None:
-        self.visits, self.ends, self.next, self.times = [0], [0], [{}], [{}]
-        for value in values:
-            self._add(symbols(value))
+    def __init__(self, values: list[str] = (), alpha: float = ALPHA, counts: dict[tuple[str, str], int] | None = None) -> None:
+        counts = counts or Counter(f for value in values for f in followers(value))
+        names = {h: k for k, h in enumerate(sorted({START} | {h for h, _ in counts}, key=lambda h: (h != START, h)))}
+        self.visits, self.ends = [0] * len(names), [0] * len(names)
+        self.next, self.times = [{} for _ in names], [{} for _ in names]
+        for (history, symbol), n in sorted(counts.items()):
+            at = names[history]
+            self.visits[at] += n
+            if symbol == END:
+                self.ends[at] += n
+            else:
+                self.times[at][symbol] = n
+                self.next[at][symbol] = names[(history + symbol)[-HISTORY:]]
         self.scale = math.sqrt(math.log(2 / alpha) / 2)
+        self.merged = list(range(len(names)))
         self._merge_states()
 
-    def _add(self, word: str) -> None:
-        at = 0
-        self.visits[0] += 1
-        for s in word:
-            if s not in self.next[at]:
-                self.next[at][s] = len(self.visits)
-                for table, new in ((self.visits, 0), (self.ends, 0), (self.next, {}), (self.times, {})):
-                    table.append(new)
-            self.times[at][s] = self.times[at].get(s, 0) + 1
-            at = self.next[at][s]
-            self.visits[at] += 1
-        self.ends[at] += 1
+    def _state(self, k: int) -> int:
+        while self.merged[k] != k:
+            self.merged[k] = k = self.merged[self.merged[k]]
+        return k
 
     def _differs(self, a: int, n: int, b: int, m: int) -> bool:
         return abs(a / n - b / m) > self.scale * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def _compatible(self, p: int, q: int) -> bool:
-        waiting = [(p, q)]
+        waiting, seen = [(p, q)], {(p, q)}
         while waiting:
             p, q = waiting.pop()
             n, m = self.visits[p], self.visits[q]
@@ -114,13 +132,20 @@ class Automaton:
                 if self._differs(self.times[p].get(s, 0), n, self.times[q].get(s, 0), m):
                     return False
                 if s in self.next[p] and s in self.next[q]:
-                    waiting.append((self.next[p][s], self.next[q][s]))
+                    pair = self._state(self.next[p][s]), self._state(self.next[q][s])
+                    if pair[0] != pair[1] and pair not in seen:
+                        seen.add(pair)
+                        waiting.append(pair)
         return True
 
-    def _fold(self, into: int, tree: int) -> None:
-        waiting = [(into, tree)]
+    def _fold(self, into: int, other: int) -> None:
+        waiting = [(into, other)]
         while waiting:
-            p, q = waiting.pop()
+            p, q = (self._state(k) for k in waiting.pop())
+            if p == q:
+                continue
+            p, q = min(p, q), max(p, q)  # the start stays the first
+            self.merged[q] = p
             self.visits[p] += self.visits[q]
             self.ends[p] += self.ends[q]
             for s, target in self.next[q].items():
@@ -133,17 +158,19 @@ class Automaton:
     def _merge_states(self) -> None:
         kept = [0]
         while True:
-            border = [(self.visits[t], -t, p, s) for p in kept for s, t in self.next[p].items() if t not in kept]
+            border = {self._state(t) for p in kept for t in self.next[p].values()} - set(kept)
             if not border:
-                return
-            _, tree, parent, symbol = max(border)
+                break
+            new = max(border, key=lambda t: (self.visits[t], -t))
             for state in kept:
-                if self._compatible(state, -tree):
-                    self.next[parent][symbol] = state
-                    self._fold(state, -tree)
+                if self._compatible(state, new):
+                    self._fold(state, new)
+                    kept = list(dict.fromkeys(self._state(k) for k in kept))
                     break
             else:
-                kept.append(-tree)
+                kept.append(new)
+        for p in kept:
+            self.next[p] = {s: self._state(t) for s, t in self.next[p].items()}
 
     def states(self) -> int:
         seen, waiting = {0}, [0]
@@ -166,16 +193,46 @@ class Automaton:
         return total
 
 
+def _ranked(steps: dict[int, int], rank: int) -> int:
+    """The step of the value with so many before it."""
+    for step in sorted(steps):
+        rank -= steps[step]
+        if rank < 0:
+            return step
+    raise ValueError("fewer values than the rank asks for")
+
+
 class Formats:
     """The automata of the kinds and of the background, and the threshold between them."""
 
     def __init__(self, labelled: dict[str, list[str]], background: list[str]) -> None:
-        self.kinds = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
-        self.background = Automaton(background or ["aaaaaaaaaaaaaaaa"])
-        own = sorted(self.score(v)[0] for vs in labelled.values() for v in vs)
-        other = sorted(self.score(v)[0] for v in background)
-        low = own[len(own) // 100] if own else math.inf
-        high = other[(len(other) - 1) - len(other) // 1000] if other else -math.inf
+        self._learn({k: Automaton(v) for k, v in sorted(labelled.items()) if v}, Automaton(background) if background else None)
+        self.part(Counter(self.step(v) for vs in labelled.values() for v in vs), Counter(self.step(v) for v in background))
+
+    def _learn(self, kinds: dict[str, Automaton], background: Automaton | None) -> None:
+        self.kinds, self.threshold = kinds, math.inf
+        self.background = background or Automaton(["aaaaaaaaaaaaaaaa"])
+
+    @classmethod
+    def counted(cls, counts: dict[str, dict[tuple[str, str], int]]) -> Formats:
+        """From the ``followers`` of each kind's values and of those of ``PLAIN``, without a threshold as yet."""
+        formats = cls.__new__(cls)
+        made = {k: Automaton(counts=c) for k, c in sorted(counts.items()) if c}
+        background = made.pop(PLAIN, None)
+        formats._learn(made, background)
+        return formats
+
+    def step(self, value: str) -> int | None:
+        """The step of 1 / ``STEPS`` bits that a value's score lies in; without formats there is none."""
+        return math.floor(self.score(value)[0] * STEPS) if self.kinds else None
+
+    def part(self, own: dict[int, int], other: dict[int, int]) -> None:
+        """Sets the threshold by how many credentials (``own``) and background runs lie in each step."""
+        if not self.kinds:
+            return
+        low = _ranked(own, sum(own.values()) // 100) / STEPS if own else math.inf
+        n = sum(other.values())
+        high = (_ranked(other, n - 1 - n // 1000) + 1) / STEPS if other else -math.inf
         self.threshold = (low + high) / 2 if high < low < math.inf and high > -math.inf else max(low, high)
 
     def score(self, value: str) -> tuple[float, str]:
@@ -211,18 +268,45 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def learn(found: DataFrame) -> Formats:
-    """Formats from at most ``SAMPLE`` distinct values of each kind and of the background, of at most
-    ``LONGEST_SAMPLE`` characters, picked by hash from those of all documents. Without any
-    such run the background is a run of one letter."""
+def learn(found: DataFrame, folder: str) -> Formats:
+    """Formats from all distinct values of each kind and all distinct runs of the background, and the threshold
+    from all their scores. Tasks count what follows each history, and then how many scores lie in each step:
+    both have as many rows as there are histories and steps, whatever the number of values. Without any run of the
+    background it is a run of one letter."""
+    pairs = found.select(F.explode(F.arrays_zip("kinds", "values")).alias("p"))
+    name = F.get(F.array(*map(F.lit, KINDS)), F.col("p.kinds"))
+    plain = found.select(F.lit(PLAIN).alias("kind"), F.explode("plain").alias("v"))
+    values = stored(pairs.select(name.alias("kind"), F.col("p.values").alias("v")).union(plain).distinct(), f"{folder}/values")
 
-    def sample(values: DataFrame) -> list[str]:
-        rows = values.where(F.length("v") <= LONGEST_SAMPLE).distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
-        return [r.v for r in rows]
+    def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for kind, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts.update((kind, h, s) for h, s in followers(value))
+        if counts:
+            kinds, before, after = map(list, zip(*counts, strict=True))
+            yield pa.record_batch([pa.array(kinds), pa.array(before), pa.array(after), pa.array(list(counts.values()), pa.int64())], names=["kind", "history", "symbol", "n"])
+
+    rows = values.mapInArrow(histories, "kind string, history string, symbol string, n long").groupBy("kind", "history", "symbol").agg(F.sum("n").alias("n"))
+    counts: dict[str, dict[tuple[str, str], int]] = {}
+    for r in rows.collect():  # bounded by the histories
+        counts.setdefault(r.kind, {})[r.history, r.symbol] = r.n
+    formats = Formats.counted(counts)
+    if not formats.kinds:
+        return formats
+    sent = found.sparkSession.sparkContext.broadcast(formats)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, counts = sent.value, Counter()
+        for batch in batches:
+            counts.update((kind == PLAIN, model.step(v)) for kind, v in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if counts:
+            other, step = map(list, zip(*counts, strict=True))
+            yield pa.record_batch([pa.array(other), pa.array(step, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["other", "step", "n"])
 
-    pairs = found.select(F.explode(F.arrays_zip("kinds", "values")).alias("p")).select("p.kinds", F.col("p.values").alias("v"))
-    labelled = {name: sample(pairs.where(F.col("kinds") == k).select("v")) for k, name in enumerate(KINDS)}
-    return Formats(labelled, sample(found.select(F.explode("plain").alias("v"))))
+    rows = values.mapInArrow(steps, "other boolean, step long, n long").groupBy("other", "step").agg(F.sum("n").alias("n")).collect()
+    formats.part({r.step: r.n for r in rows if not r.other}, {r.step: r.n for r in rows if r.other})
+    return formats
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", formats: Formats | None = None, folder: str | None = None) -> DataFrame:
@@ -237,8 +321,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", format
 
     folder = folder or shared_folder(docs.sparkSession, "secrets")
     found = stored(_found(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), f"{folder}/found")
-    formats = formats or learn(found)
-    sent = docs.sparkSession.sparkContext.broadcast(formats)  # bounded by the sample
+    formats = formats or learn(found, folder)
+    sent = docs.sparkSession.sparkContext.broadcast(formats)  # bounded by the histories
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
