@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.text import text_or_empty
+from thicket.session import materialise
 
 SIZE = 3
 SMOOTHING = 0.5
@@ -45,11 +46,16 @@ def _cut(letters: Column) -> Column:
     return F.when(F.size(letters) >= SIZE, F.transform(starts, lambda i: F.concat(*[F.get(letters, i + k) for k in range(SIZE)])))
 
 
+def _cut_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, script, letters) of the rows that have a script."""
+    cut = rows.select(*keys, script(F.col("text")).alias("script"), F.explode(F.array(_letters(F.col("text")))).alias("letters"))  # once, not for each use
+    return cut.where("script IS NOT NULL")
+
+
 def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, script, run, n): a task counts the runs of its own rows before anything is shuffled."""
-    cut = rows.select(*keys, script(F.col("text")).alias("script"), F.explode(F.array(_letters(F.col("text")))).alias("letters"))  # once, not for each use
-    runs = cut.select(*keys, "script", F.explode(_cut(F.col("letters"))).alias("run"))
-    return runs.where("script IS NOT NULL").groupBy(*keys, "script", "run").agg(F.count("*").alias("n"))
+    runs = _cut_rows(rows, keys).select(*keys, "script", F.explode(_cut(F.col("letters"))).alias("run"))
+    return runs.groupBy(*keys, "script", "run").agg(F.count("*").alias("n"))
 
 
 def language_profiles(labelled: DataFrame) -> DataFrame:
@@ -58,7 +64,7 @@ def language_profiles(labelled: DataFrame) -> DataFrame:
     ``unseen`` is the log probability of a run that the language never has, ``gain`` what a known run has more.
     A script is a language's own if a tenth of its runs is in it.
     """
-    counts = _counted(labelled.where("lang IS NOT NULL").select("lang", "text"), ["lang"])
+    counts = materialise(_counted(labelled.where("lang IS NOT NULL").select("lang", "text"), ["lang"]))  # read three times
     own = counts.groupBy("lang", "script").agg(F.sum("n").alias("total"))
     whole = own.groupBy("lang").agg(F.sum("total").alias("whole"))
     own = own.join(whole, "lang").where(F.col("total") * 10 >= F.col("whole")).drop("whole")
@@ -73,15 +79,17 @@ def tagged(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_co
     """(id, script, lang, margin) of each distinct id; margin is the lead over the next language, for each run.
 
     A language's score is the sum over the text's runs; runs it does not know count alike, so only known ones are
-    joined. Ties go to the first language by name. Null, empty and letterless texts, and those in a script without
+    joined. The sum is taken run by run, so a task adds up its own texts and no run is shuffled by its text. Ties go to the first language by name. Null, empty and letterless texts, and those in a script without
     a profile, have no language. Rows that share an id are one text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = _counted(rows, ["id"])
+    profiles = materialise(profiles)  # read twice; its size is known to the planner
+    cut = _cut_rows(rows, ["id"])
     langs = profiles.select("script", "lang", "unseen").distinct()
-    known = counts.join(profiles.select("script", "lang", "run", "gain"), ["script", "run"])
-    gains = known.groupBy("id", "script", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    totals = counts.groupBy("id", "script").agg(F.sum("n").alias("runs"))
+    runs = cut.select("id", "script", F.explode(_cut(F.col("letters"))).alias("run"))
+    known = runs.join(profiles.select("script", "lang", "run", "gain"), ["script", "run"])
+    gains = known.groupBy("id", "script", "lang").agg(F.sum("gain").alias("gain"))
+    totals = cut.where(F.size("letters") >= SIZE).groupBy("id", "script").agg(F.sum(F.size("letters") - SIZE + 1).alias("runs"))
     scores = totals.join(langs, "script").join(gains, ["id", "script", "lang"], "left")
     score = F.coalesce("gain", F.lit(0.0)) + F.col("runs") * F.col("unseen")
     ranked = scores.groupBy("id", "script", "runs").agg(F.sort_array(F.collect_list(F.struct((-score).alias("cost"), "lang"))).alias("best"))
