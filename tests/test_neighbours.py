@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from thicket.operators import neighbours as N
@@ -78,3 +81,15 @@ def test_empty_tables(spark):
     full = N.build_index(table(spark, [np.ones(3), -np.ones(3)]), folder(spark, "cells-two"))
     assert N.approximate_search(full, table(spark, [], "qid")).count() == 0
     assert [r.uri for r in N.approximate_search(full, table(spark, [np.ones(3)], "qid"), 12, probes=9).collect()] == ["u00000", "u00001"]
+
+
+def test_a_block_of_questions_is_compared_in_bounded_parts():
+    rng = np.random.default_rng(5)
+    docs = pd.DataFrame({"uri": [f"u{i:04d}" for i in range(2000)], "embedding": list(rng.normal(size=(2000, 8)))})
+    queries = rng.normal(size=(2000, 8))
+    tracemalloc.start()
+    got = S._best_pairs(np.arange(2000), queries, docs, 3)
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    want = np.argsort(-np.round(queries @ S._unit(docs["embedding"]).T, 12), axis=1, kind="stable")[:, :3]
+    assert [f"u{i:04d}" for i in want.ravel()] == got["uri"].tolist()

@@ -216,6 +216,7 @@ def filtered_search(filters: DataFrame, concepts: DataFrame, k: int) -> DataFram
 # -- vectors ----------------------------------------------------------------
 
 BLOCK = 4096
+ASKED_AT_ONCE = 256  # queries whose cosines to a block of documents are held at once
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -225,16 +226,21 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _best_pairs(qids: np.ndarray, queries: np.ndarray, docs: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of one block of documents for each query."""
+    """The k nearest rows of one block of documents for each query, ``ASKED_AT_ONCE`` queries at a time."""
     uris = docs["uri"].to_numpy()
-    cosine = np.round(queries @ _unit(docs["embedding"]).T, 12)
+    units = _unit(docs["embedding"]).T
     by_uri = np.argsort(uris, kind="stable")
-    order = by_uri[np.argsort(-cosine[:, by_uri], axis=1, kind="stable")[:, :k]]
+    parts = []
+    for at in range(0, max(len(qids), 1), ASKED_AT_ONCE):
+        cosine = np.round(queries[at : at + ASKED_AT_ONCE] @ units, 12)
+        order = by_uri[np.argsort(-cosine[:, by_uri], axis=1, kind="stable")[:, :k]]
+        parts.append((order, np.take_along_axis(cosine, order, axis=1)))
+    order = np.concatenate([p[0] for p in parts])
     return pd.DataFrame(
         {
             "qid": np.repeat(qids, order.shape[1]),
             "uri": uris[order].ravel(),
-            "cosine": np.take_along_axis(cosine, order, axis=1).ravel(),
+            "cosine": np.concatenate([p[1] for p in parts]).ravel(),
         }
     )
 
