@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -119,3 +120,33 @@ def test_a_stream_answers_each_question_once_over_restarts(spark, tmp_path):
     every = spark.createDataFrame([(1, "forest tree land"), (2, "canopy treeland"), (3, "waldtree land")], "qid long, query string")
     want = sorted((r.qid, r.uri, r.rank, r.score) for r in P.question_hits(every, index, 5).collect())
     assert got == want and {r[0] for r in got} == {1, 2, 3}
+
+
+def test_runs_are_stored_as_lists_of_rows(spark):
+    index = new(spark, "lists")
+    P.add_batch(index, concepts(spark, ["forest land, forest"] * 200).drop("label").withColumn("label", F.lit("")).coalesce(2))
+    lists = P._postings(spark, index)
+    assert lists.count() <= 4 and lists.agg(F.sum(F.size("places"))).first()[0] == 400
+    few = spark.createDataFrame([("f",), ("st",), ("d",), ("restl",)], "needle string")
+    assert P.found_rows(few, index).groupBy("needle").count().orderBy("needle").collect() == [("d", 200), ("f", 200), ("st", 200)]
+
+
+def test_texts_are_listed_in_bounded_pieces(spark, monkeypatch):
+    whole, pieces = new(spark, "whole-piece"), new(spark, "pieces")
+    some = concepts(spark, texts(5, 120)).coalesce(1)
+    P.add_batch(whole, some)
+    monkeypatch.setattr(P, "TEXT_BYTES", 64)
+    P.add_batch(pieces, some)
+    assert P._postings(spark, pieces).count() > P._postings(spark, whole).count()
+    needles = spark.createDataFrame([(n,) for n in NEEDLES], "needle string")
+    one, other = ({tuple(r) for r in P.found_rows(needles, i).collect()} for i in (whole, pieces))
+    assert one == other and len(one) > 100
+
+
+def test_pairs_of_rows_and_questions_are_shuffled_by_uri_only(spark, sf_dir):
+    index = new(spark, "by-uri")
+    P.add_batch(index, materialise(R.concept_rows(W.kg_triples(spark, sf_dir))))
+    filters = Q.extract_filters(W.template_questions(spark, sf_dir))
+    best = P.stored_scores(filters, index).groupBy("uri", "qid").agg(F.max(F.struct("score", "rid")))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(uri#", plan) and not re.search(r"hashpartitioning\(uri#\d+, (rid|qid)#", plan)

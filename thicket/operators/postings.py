@@ -1,12 +1,14 @@
 """A stored keyword index: which letter runs a text has, written once and added to by batch.
 
 A keyword made of a-z lies inside one maximal run of letters, so the index keeps, for every run, the rows that
-have it. Three tables lie below one folder:
+have it. Four tables lie below one folder:
 
-* ``postings`` (run, uri, rid), partitioned by batch and by a bucket of the run;
-* ``grams`` (gram, run): the runs by their substrings of one to three letters, partitioned in the same way by the gram,
-  which lead from a keyword to the runs that contain it;
-* ``rows`` (uri, rid, filter columns and fields) by batch.
+* ``postings`` (run, block, places), lists of at most ``2 ** BLOCK_BITS`` row numbers of one block each, partitioned by batch
+  and by a bucket of the run;
+* ``grams`` (gram, run): the runs by the three letters that begin at each place (fewer at the end), partitioned in the same
+  way by the gram, which lead from a keyword to the runs that contain it;
+* ``rows`` (row, uri, rid, filter columns and fields) by batch;
+* ``ids`` (row, uri, rid) by batch, which lead from row numbers to rows without a text.
 
 A search looks up its keywords' grams and reads the buckets of the runs found: no text and no run that was not
 asked for reaches a join. A batch replaces its own folders only, so writing it again after a failure leaves the
@@ -15,18 +17,30 @@ same rows.
 
 from __future__ import annotations
 
+import string
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions import questions as Q
 from thicket.operators import search as S
-from thicket.operators.containment import letter_runs
 from thicket.session import materialise
 
+# task code travels with the job, so executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BUCKETS = 64
 GRAM = 3
+BLOCK_BITS = 20  # a list holds places of one block of row numbers
+TEXT_BYTES = 1 << 24  # text whose runs are listed together
+PAIRS = 500_000  # pairs of rows and questions that one task scores
 
 
 @dataclass(frozen=True)
@@ -42,13 +56,66 @@ def _bucket(value: str, buckets: int) -> Column:
 
 
 def _grams(run: Column) -> Column:
-    """Distinct substrings of one to ``GRAM`` letters."""
+    """Distinct substrings of ``GRAM`` letters, and the shorter ones at the end."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.substring(run, i, F.lit(GRAM))))
+
+
+def _grams_beginning(needle: Column) -> Column:
+    """The grams that a run with ``needle`` has: its first letters, and if it is shorter than a gram all that go on from it."""
+    first = F.substring(needle, 1, GRAM)
+    ends, more = [""], [""]
+    for n in range(1, GRAM):
+        more = [e + x for e in more for x in string.ascii_lowercase]
+        ends += more
+    longer = F.transform(F.array(*[F.lit(e) for e in ends]), lambda e: F.concat(first, e))
+    return F.when(F.length(first) == GRAM, F.array(first)).otherwise(F.filter(longer, lambda g: F.length(g) <= GRAM))
+
+
+def _listed(texts: pa.ChunkedArray, rows: np.ndarray) -> pa.RecordBatch:
+    """(run, block, places) of some lower-cased texts."""
+    split = pc.split_pattern_regex(texts, "[^a-z]+").combine_chunks()
+    runs = split.flatten().dictionary_encode()
+    codes = runs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+    # a row's place among these rows keeps the order of row numbers
+    order = np.argsort(rows, kind="stable")
+    place = np.empty(len(rows), dtype=np.int64)
+    place[order] = np.arange(len(rows))
+    pairs = np.unique(codes * len(rows) + place[owner])
+    codes, found = pairs // max(len(rows), 1), rows[order][pairs % max(len(rows), 1)]
+    blocks = found >> BLOCK_BITS
+    starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])]) if len(pairs) else np.zeros(0, dtype=np.int64)
+    places = pa.array((found & ((1 << BLOCK_BITS) - 1)).astype(np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(pairs)].astype(np.int32)), places)
+    out = pa.RecordBatch.from_arrays(
+        [runs.dictionary.take(pa.array(codes[starts])).cast(pa.string()), pa.array(blocks[starts]), lists], ["run", "block", "places"]
+    )
+    return out.filter(pc.not_equal(out["run"], ""))
+
+
+def _run_lists(rows: DataFrame) -> DataFrame:
+    """(run, block, places): which of ``rows`` (row, text), lower-cased, have a run, in lists made by bounded pieces of a task's rows."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                lengths = pc.cumulative_sum(pc.binary_length(batch["text"].slice(at))).to_numpy(zero_copy_only=False)
+                n = max(1, int(np.searchsorted(lengths, TEXT_BYTES - size, side="right")))
+                held.append(batch.slice(at, n))
+                size, at = size + int(lengths[min(n, len(lengths)) - 1]), at + n
+                if size >= TEXT_BYTES or at < batch.num_rows:
+                    yield _of(held)
+                    held, size = [], 0
+        if held:
+            yield _of(held)
 
-    def cuts(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(run) - n + 1)
-        return F.when(F.length(run) >= n, F.transform(starts, lambda i: F.substring(run, i, F.lit(n))))
+    def _of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        return _listed(table["text"], table["row"].to_numpy())
 
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*[cuts(n) for n in range(1, GRAM + 1)]))))
+    return rows.mapInArrow(lists, "run string, block long, places array<int>")
 
 
 def add_batch(index: KeywordIndex, concepts: DataFrame, batch: str = "0") -> None:
@@ -59,17 +126,13 @@ def add_batch(index: KeywordIndex, concepts: DataFrame, batch: str = "0") -> Non
     """
     rows = S._with_missing(concepts, S.FILTER_COLUMNS)
     fields = [c for c in S.CONCEPT_FIELDS if c in rows.columns]
-    rows = rows.select("uri", S.row_id().alias("rid"), *S.FILTER_COLUMNS, *fields)
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "uri", S.row_id().alias("rid"), *S.FILTER_COLUMNS, *fields)
     target = f"{index.path}/rows/batch={batch}"
     rows.write.mode("overwrite").parquet(target)
-    text = F.concat_ws(" ", "label", "definition")
-    pairs = (
-        rows.sparkSession.read.schema(rows.schema).parquet(target)
-        .select("uri", "rid", F.explode(letter_runs(text)).alias("run"))
-        .distinct()
-        .select("*", _bucket("run", index.buckets).alias("bucket"))
-    )
-    _write(pairs, f"{index.path}/postings/batch={batch}", "run")
+    kept = rows.sparkSession.read.schema(rows.schema).parquet(target)
+    kept.select("row", "uri", "rid").write.mode("overwrite").parquet(f"{index.path}/ids/batch={batch}")
+    lists = _run_lists(kept.select("row", F.lower(F.concat_ws(" ", "label", "definition")).alias("text")))
+    _write(lists.withColumn("bucket", _bucket("run", index.buckets)), f"{index.path}/postings/batch={batch}", "run")
     stored = _postings(rows.sparkSession, index).where(F.col("batch") == batch)
     runs = stored.select("run").distinct()
     grams = runs.select(F.explode(_grams(F.col("run"))).alias("gram"), "run")
@@ -82,13 +145,17 @@ def _write(df: DataFrame, path: str, key: str) -> None:
 
 
 def _postings(spark: SparkSession, index: KeywordIndex) -> DataFrame:
-    return spark.read.schema("uri string, rid string, run string, batch string, bucket int").parquet(f"{index.path}/postings")
+    return spark.read.schema("run string, block long, places array<int>, batch string, bucket int").parquet(f"{index.path}/postings")
 
 
 def _stored_grams(spark: SparkSession, index: KeywordIndex) -> DataFrame:
     return spark.read.schema("gram string, run string, batch string, bucket int").parquet(f"{index.path}/grams")
 
 
+def _ids(spark: SparkSession, index: KeywordIndex) -> DataFrame:
+    return spark.read.schema("row long, uri string, rid string, batch string").parquet(f"{index.path}/ids")
+
+
 def stored_rows(spark: SparkSession, index: KeywordIndex) -> DataFrame:
     """The indexed rows with their fields."""
     return spark.read.option("mergeSchema", "true").parquet(f"{index.path}/rows").withColumn("batch", F.col("batch").cast("string"))
@@ -97,10 +164,10 @@ def stored_rows(spark: SparkSession, index: KeywordIndex) -> DataFrame:
 def matching_runs(needles: DataFrame, index: KeywordIndex) -> DataFrame:
     """(needle, run, bucket) for every stored run that contains a needle (a-z).
 
-    A needle of up to ``GRAM`` letters is a gram itself; a longer one is looked up by its first letters and compared.
+    A needle is looked up by its first letters and compared; one shorter than a gram by all grams that begin with it.
     """
     wanted = needles.select("needle").where("needle > ''").distinct()
-    wanted = wanted.select("needle", F.substring("needle", 1, GRAM).alias("gram"))
+    wanted = wanted.select("needle", F.explode(_grams_beginning(F.col("needle"))).alias("gram"))
     wanted = materialise(wanted.withColumn("bucket", _bucket("gram", index.buckets)))
     grams = _stored_grams(needles.sparkSession, index).drop("batch")
     # the comparison says nothing new; it tells the planner that this side picks buckets
@@ -108,11 +175,25 @@ def matching_runs(needles: DataFrame, index: KeywordIndex) -> DataFrame:
     return found.select("needle", "run").distinct().withColumn("bucket", _bucket("run", index.buckets))
 
 
-def found_rows(needles: DataFrame, index: KeywordIndex) -> DataFrame:
-    """(uri, rid, needle): the rows whose text contains a needle, each pair once, hash-partitioned by (uri, rid)."""
+def _found_places(needles: DataFrame, index: KeywordIndex) -> DataFrame:
+    """(batch, row, needle): the row numbers whose text contains a needle, once for each run that has it."""
     matches = materialise(matching_runs(needles, index))
-    hits = _postings(needles.sparkSession, index).join(matches.where("run > ''"), ["bucket", "run"])
-    return hits.select("uri", "rid", "needle").repartition("uri", "rid").distinct()
+    lists = _postings(needles.sparkSession, index).join(matches.where("run > ''"), ["bucket", "run"])
+    start = F.shiftleft("block", BLOCK_BITS)
+    return lists.select("batch", "needle", start.alias("start"), F.explode("places").alias("place")).select(
+        "batch", (F.col("start") + F.col("place")).alias("row"), "needle"
+    )
+
+
+def _named(places: DataFrame, index: KeywordIndex, parts: int | None = None) -> DataFrame:
+    """(uri, rid, needle) of the ``places``, each once, hash-partitioned by uri."""
+    hits = places.join(_ids(places.sparkSession, index), ["batch", "row"]).select("uri", "rid", "needle")
+    return (hits.repartition(parts, "uri") if parts else hits.repartition("uri")).distinct()
+
+
+def found_rows(needles: DataFrame, index: KeywordIndex) -> DataFrame:
+    """(uri, rid, needle): the rows whose text contains a needle, each pair once, hash-partitioned by uri."""
+    return _named(_found_places(needles, index), index)
 
 
 def keyword_hits(keywords: DataFrame, index: KeywordIndex) -> DataFrame:
@@ -121,15 +202,25 @@ def keyword_hits(keywords: DataFrame, index: KeywordIndex) -> DataFrame:
     return found.select("uri", F.col("needle").alias("keyword")).distinct()
 
 
+def _parts(places: DataFrame, asked: DataFrame) -> int:
+    """Tasks for the pairs of rows and questions, counted from above."""
+    spark = places.sparkSession
+    each = asked.groupBy("needle").agg(F.count("*").alias("n"))
+    pairs = places.groupBy("needle").agg(F.count("*").alias("rows")).join(each, "needle").agg(F.sum(F.col("rows") * F.col("n"))).first()[0]
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(pairs or 0) // PAIRS))
+
+
 def stored_scores(questions: DataFrame, index: KeywordIndex) -> DataFrame:
     """R1 before the cut, from the index: what ``search.keyword_scores`` gives for the indexed rows.
 
-    Filter columns are joined where a question can have filters; nothing else of ``rows`` is read.
+    Filter columns are joined where a question can have filters; nothing else of ``rows`` is read. Rows stay partitioned by
+    uri from the needles found to the best row of a concept, over as many tasks as the counted pairs of rows and questions need.
     """
     filtered = bool({"concept", "scope", "org"} & set(questions.columns))
     questions = S._with_missing(questions, {"concept": "string", "scope": "string", "org": "string"})
     asked = materialise(S.keyword_rows(questions))
-    hits = found_rows(asked.select("needle"), index).join(asked, "needle")
+    places = materialise(_found_places(asked.select("needle"), index))
+    hits = _named(places, index, _parts(places, asked)).join(asked, "needle")
     pairs = (
         hits.groupBy("uri", "rid", "qid")
         .agg(
@@ -141,8 +232,10 @@ def stored_scores(questions: DataFrame, index: KeywordIndex) -> DataFrame:
         .filter(F.col("hits") > 0)
     )
     if filtered:
-        rows = stored_rows(questions.sparkSession, index).select("uri", "rid", *S.FILTER_COLUMNS)
-        pairs = pairs.join(rows.dropDuplicates(["uri", "rid"]), ["uri", "rid"])
+        rows = stored_rows(questions.sparkSession, index).select(F.col("uri"), F.col("rid").alias("_rid"), *S.FILTER_COLUMNS)
+        rows = rows.dropDuplicates(["uri", "_rid"]).hint("shuffle_hash")
+        # rids have one length, so this is equality; as a join key it would shuffle the pairs by (uri, rid)
+        pairs = pairs.join(rows, "uri").where(F.startswith("rid", "_rid")).drop("_rid")
     else:
         pairs = S._with_missing(pairs, S.FILTER_COLUMNS)
     return S.filtered_scores(pairs, questions)
