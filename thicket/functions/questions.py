@@ -7,39 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thicket import vocab as V
-from thicket.functions.text import ColumnOrName, _c, first_match
+from thicket.functions.text import ColumnOrName, _c, first_match, folded, matches_folded
 
 
 def detect_concept(q: ColumnOrName) -> Column:
-    return first_match(_c(q), V.CONCEPT_PATTERNS)
+    return first_match(folded(q), V.CONCEPT_PATTERNS)
 
 
 def detect_scope(q: ColumnOrName) -> Column:
-    return first_match(_c(q), V.SCOPE_PATTERNS)
+    return first_match(folded(q), V.SCOPE_PATTERNS)
 
 
 def detect_org(q: ColumnOrName) -> Column:
-    return first_match(_c(q), V.ORG_PATTERNS)
+    return first_match(folded(q), V.ORG_PATTERNS)
 
 
 def detect_continent(q: ColumnOrName) -> Column:
-    return first_match(_c(q), V.CONTINENT_PATTERNS)
+    return first_match(folded(q), V.CONTINENT_PATTERNS)
 
 
 def is_threshold_question(q: ColumnOrName) -> Column:
-    return _c(q).rlike(f"(?iU){V.THRESHOLD_WORDS}")
+    return matches_folded(folded(q), V.THRESHOLD_WORDS)
 
 
-def _direction(q: Column, legacy: bool) -> Column:
+def _direction(low: Column, legacy: bool) -> Column:
     if legacy:
-        return F.when(q.rlike(f"(?iU){V.LE_WORDS}"), F.lit("le")).when(
-            q.rlike(f"(?iU){V.GE_WORDS}"), F.lit("ge")
+        return F.when(matches_folded(low, V.LE_WORDS), F.lit("le")).when(
+            matches_folded(low, V.GE_WORDS), F.lit("ge")
         )
     return (
-        F.when(q.rlike(r"(?iU)\bno\s+less\s+than\b"), F.lit("ge"))
-        .when(q.rlike(r"(?iU)\bno\s+more\s+than\b"), F.lit("le"))
-        .when(q.rlike(rf"(?iU)\b(?:{V.LE_WORDS})\b"), F.lit("le"))
-        .when(q.rlike(rf"(?iU)\b(?:{V.GE_WORDS})\b"), F.lit("ge"))
+        F.when(matches_folded(low, r"\bno\s+less\s+than\b"), F.lit("ge"))
+        .when(matches_folded(low, r"\bno\s+more\s+than\b"), F.lit("le"))
+        .when(matches_folded(low, rf"\b(?:{V.LE_WORDS})\b"), F.lit("le"))
+        .when(matches_folded(low, rf"\b(?:{V.GE_WORDS})\b"), F.lit("ge"))
     )
 
 
@@ -49,14 +49,18 @@ def detect_threshold(q: ColumnOrName, legacy: bool = False) -> Column:
     Direction words match whole words, and ``no less than`` is read before
     ``less than``; ``legacy`` matches them anywhere in the text instead.
     """
-    col = _c(q)
-    op = _direction(col, legacy)
+    return _threshold(folded(q), legacy)
+
+
+def _threshold(low: Column, legacy: bool) -> Column:
+    """N5 over folded text; numbers and directions are looked for where a field is named."""
+    op = _direction(low, legacy)
     found = []
     for field, keyword, unit in V.THRESHOLD_FIELDS:
-        number = F.regexp_extract(col, rf"(?iU)(\d+(?:\.\d+)?)\s*(?:{unit})", 1)
+        number = F.regexp_extract(low, rf"(?U)(\d+(?:\.\d+)?)\s*(?:{unit})", 1)
         found.append(
             F.when(
-                col.rlike(f"(?iU){keyword}") & (number != "") & op.isNotNull(),
+                matches_folded(low, keyword) & (number != "") & op.isNotNull(),
                 F.struct(
                     F.lit(field).alias("field"),
                     op.alias("op"),
@@ -93,15 +97,15 @@ def question_keywords(q: ColumnOrName, n: int = 8) -> Column:
 
 def extract_filters(questions: DataFrame, legacy: bool = False) -> DataFrame:
     """Every question column plus the filters its text states."""
-    q = F.col("query")
-    return questions.select(
-        "*",
-        detect_concept(q).alias("concept"),
-        detect_org(q).alias("org"),
-        detect_scope(q).alias("scope"),
-        detect_continent(q).alias("continent"),
+    low = F.col("_folded")  # the text is folded once for all patterns
+    return questions.withColumn("_folded", folded("query")).select(
+        *questions.columns,
+        first_match(low, V.CONCEPT_PATTERNS).alias("concept"),
+        first_match(low, V.ORG_PATTERNS).alias("org"),
+        first_match(low, V.SCOPE_PATTERNS).alias("scope"),
+        first_match(low, V.CONTINENT_PATTERNS).alias("continent"),
         F.array().cast(T.ArrayType(T.StringType())).alias("countries"),
-        detect_threshold(q, legacy).alias("threshold"),
+        _threshold(low, legacy).alias("threshold"),
         F.lit("regex").alias("source"),
     )
 

@@ -6,6 +6,7 @@ that scans the table; no function needs Python workers.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache, reduce
 
@@ -65,9 +66,36 @@ def icontains(col: ColumnOrName, needle: ColumnOrName) -> Column:
     return F.contains(F.lower(_c(col)), F.lower(_c(needle)))
 
 
-def first_match(col: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Key of the first pattern, in list order, that the text matches."""
-    return F.coalesce(*[F.when(col.rlike(f"(?iU){p}"), F.lit(key)) for p, key in patterns])
+def folded(col: ColumnOrName) -> Column:
+    """Lower case in which a-z also stands for the letters that a case-blind pattern takes for them."""
+    return F.lower(F.translate(_c(col), "\u017f\u212a\u0131\u0130", "skii"))
+
+
+@cache
+def _literals(pattern: str) -> tuple[str, ...]:
+    """Texts of which every match has one: the longest literal of each alternative; none if one has no literal."""
+    plain = re.sub(r"\\[bsdw][?*+]?|\[[^\]]*\][?*+]?|\(\?:|\\?.[?*]|[()^$.+\\]", " ", pattern)
+    longest = tuple(max(part.split() or [""], key=len) for part in plain.split("|"))
+    return longest if all(longest) else ()
+
+
+@cache
+def _starts(pattern: str) -> str:
+    """A look at the letters a match can begin with, which is tried before word boundaries are; blank if unknown."""
+    firsts = [re.match(r"(?:\\b|\(\?:|\()*([a-z])(?![?*{])", part) for part in pattern.split("|")]
+    return f"(?=[{''.join(sorted({m[1] for m in firsts}))}])" if all(firsts) else ""
+
+
+def matches_folded(low: Column, pattern: str) -> Column:
+    """Whether folded text has a lower-case pattern; texts without its literals are not read by the pattern."""
+    found = low.rlike(f"(?U){_starts(pattern)}(?:{pattern})")
+    parts = _literals(pattern)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts]) & found if parts else found
+
+
+def first_match(low: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Key of the first pattern, in list order, that the folded text matches."""
+    return F.coalesce(*[F.when(matches_folded(low, p), F.lit(key)) for p, key in patterns])
 
 
 def all_matches(col: Column, patterns: list[tuple[str, str]]) -> Column:
