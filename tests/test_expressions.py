@@ -117,3 +117,18 @@ def test_model_output(spark):
     assert value(spark, Q.parse_filter_json(F.lit('{"scope":3}')))["scope"] is None
     plan = value(spark, Q.parse_tool_plan(F.lit("nope"), F.lit("q")))
     assert [c["tool"] for c in plan] == ["sparql_search", "vector_search"]
+
+
+def test_a_text_without_anything_left_has_no_text(spark):
+    odd = [None, "", " ", "\t\n\x0b\f\r", "a", " a ", "\n-", " ", "\u0085", "  \n", "é"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string")
+    kept = rows.select(X.has_text("text").alias("now"), (X.strip(X.text_or_empty("text")) != "").alias("stripped"))
+    assert all(r.now == r.stripped for r in kept.collect()) and kept.where("now").count() >= 4
+
+
+def test_the_source_is_the_first_note_in_parentheses(spark):
+    odd = [None, "", "()", "(a) (b)", "x (a(b) c)", "((deep))", "(open", "() (n 2001 KP)", "(two\nlines)"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string")
+    first = F.coalesce(F.get(X.parentheses("text"), 0), F.lit(""))
+    assert all(r.now == r.first for r in rows.select(X.source("text").alias("now"), first.alias("first")).collect())
+    assert "regexp_extract_all" not in rows.select(X.source("text"))._jdf.queryExecution().analyzed().toString()
