@@ -150,3 +150,29 @@ def test_pairs_of_rows_and_questions_are_shuffled_by_uri_only(spark, sf_dir):
     best = P.stored_scores(filters, index).groupBy("uri", "qid").agg(F.max(F.struct("score", "rid")))
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(uri#", plan) and not re.search(r"hashpartitioning\(uri#\d+, (rid|qid)#", plan)
+
+
+def test_plain_questions_are_ranked_as_by_scores_of_all_rows(spark):
+    index = new(spark, "blocks")
+    rng = random.Random(9)
+    some = [(f"u{rng.randrange(150):03d}", rng.choice([None, "forest", "é"]), t) for t in texts(8, 300)] + [(None, "forest", "tree")]
+    rows = spark.createDataFrame(some, "uri string, label string, definition string")
+    P.add_batch(index, rows.repartition(3), "a")
+    P.add_batch(index, rows.limit(200).repartition(2), "b")
+    asked = [(1, "forest tree land canopy"), (2, "landtree tree forest forest"), (3, "the"), (4, None), (None, "forest land"), (5, "absent words")]
+    plain = spark.createDataFrame(asked, "qid long, query string")
+    for k in (1, 4, 1000):
+        want = S.best_hits(P.stored_scores(plain, index), k)
+        got = P.stored_search(plain, index, k, fields=False)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.drop("rid").collect())) and got.count() >= min(k, 100)
+    mixed = plain.withColumns({"concept": F.when(F.col("qid") == 2, "forest"), "scope": F.lit(None).cast("string"), "org": F.when(F.col("qid") == 5, "FAO")})
+    want = S.best_hits(P.stored_scores(mixed, index), 7).drop("rid")
+    assert sorted(map(str, P.stored_search(mixed, index, 7, fields=False).collect())) == sorted(map(str, want.collect()))
+
+
+def test_pairs_of_rows_and_needles_are_not_shuffled(spark):
+    index = new(spark, "few-pairs")
+    P.add_batch(index, concepts(spark, ["forest land canopy tree"] * 500).drop("label").withColumn("label", F.lit("")).repartition(2))
+    asked = spark.createDataFrame([(i, "forest land canopy tree") for i in range(20)], "qid long, query string")
+    assert P.plain_scores(asked, index, 3).count() <= 2 * 20 * 3
+    assert P.plain_scores(asked, index, 3).count() < P.stored_scores(asked, index).count()

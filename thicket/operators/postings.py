@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from thicket.functions import questions as Q
 from thicket.operators import search as S
@@ -38,7 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 64
 GRAM = 3
-BLOCK_BITS = 20  # a list holds places of one block of row numbers
+BLOCK_BITS = 17  # a list holds places of one block of row numbers
 TEXT_BYTES = 1 << 24  # text whose runs are listed together
 PAIRS = 500_000  # pairs of rows and questions that one task scores
 
@@ -241,9 +242,138 @@ def stored_scores(questions: DataFrame, index: KeywordIndex) -> DataFrame:
     return S.filtered_scores(pairs, questions)
 
 
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, its places) of each key from 0 up; negative ones are left out."""
+    order = np.argsort(keys, kind="stable")
+    ends = np.flatnonzero(np.r_[keys[order][1:] != keys[order][:-1], True]) + 1 if len(keys) else []
+    start = 0
+    for end in ends:
+        if keys[order[start]] >= 0:
+            yield int(keys[order[start]]), order[start:end]
+        start = end
+
+
+def _kept(best: np.ndarray, k: int, slack: int) -> np.ndarray:
+    """Places of the ``k`` largest counts above 0, the first of equal ones; with ``slack`` also all that are at most that much smaller."""
+    found = np.flatnonzero(best > 0)
+    if len(found) <= k:
+        return found
+    counts = best[found]
+    last = np.partition(counts, len(counts) - k)[len(counts) - k]
+    if slack:
+        return found[counts >= last - slack]
+    above, tied = found[counts > last], found[counts == last]
+    return np.concatenate([above, tied[: k - len(above)]])
+
+
+def _block_hits(lists: pa.Table, ids: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """(qid, uri, rid, hits, keywords): the rows of one block that can be among the best ``k`` of a question.
+
+    ``lists`` are the block's (needle, places) and (needle, askers); ``ids`` its (place, uri, rid). Equal counts go to the
+    smaller uri, as in the ranking that follows; where a question has so many keywords that counts can round to one score, all
+    rows near the last count are kept.
+    """
+    if not lists.num_rows or not ids.num_rows:
+        return schema.empty_table()
+    ids = ids.take(pc.sort_indices(ids, [("uri", "ascending"), ("rid", "descending")], null_placement="at_start"))
+    uris, n = ids["uri"].combine_chunks(), ids.num_rows
+    codes = uris.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    at = ids["place"].to_numpy()
+    where = np.full(1 << BLOCK_BITS, -1, dtype=np.int32)
+    where[at] = np.arange(n, dtype=np.int32)
+
+    needles = lists["needle"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    places = lists["places"].combine_chunks()
+    values, filled = places.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(places).fill_null(0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(needles, filled)
+    rows = {}
+    for needle, found in _groups(owner):
+        mine = where[np.unique(values[found])]
+        rows[needle] = mine[mine >= 0]
+
+    askers = lists["askers"].combine_chunks()
+    asked = needles[pc.list_parent_indices(askers).to_numpy(zero_copy_only=False)]
+    flat = askers.flatten()
+    qids = flat.field("qid").dictionary_encode()
+    weights, keywords = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("weight", "keywords"))
+    parts, hits = [], np.zeros(n, dtype=np.int64)
+    for qid, mine in _groups(qids.indices.fill_null(-1).to_numpy(zero_copy_only=False)):
+        hits[:] = 0
+        for i in mine:
+            if asked[i] in rows:
+                hits[rows[asked[i]]] += weights[i]
+        total = int(keywords[mine].max())
+        best = np.maximum.reduceat(hits, starts)
+        kept = _kept(best, k, total // 1000 + 1 if total >= 1000 else 0)
+        if len(kept):
+            group = np.zeros(len(starts), dtype=bool)
+            group[kept] = True
+            shown = np.flatnonzero(np.repeat(group, sizes) & (hits > 0))
+            parts.append((np.full(len(shown), qid), shown, hits[shown], np.full(len(shown), total)))
+    if not parts:
+        return schema.empty_table()
+    q, shown, counts, totals = (np.concatenate(p) for p in zip(*parts))
+    columns = [qids.dictionary.take(pa.array(q)), uris.take(pa.array(shown)), ids["rid"].take(pa.array(shown)), pa.array(counts), pa.array(totals)]
+    return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
+
+
+def plain_scores(questions: DataFrame, index: KeywordIndex, k: int, named: bool = False) -> DataFrame:
+    """(qid, uri, rid, score) holding the best ``k`` concepts of every question without filters, as ``stored_scores`` has them.
+
+    The lists of the runs found meet the names of their rows block by block, so what is shuffled are row numbers in
+    lists: pairs of rows and needles, or of rows and questions, are never rows of their own, and each block gives at most
+    the rows that can be among a question's best. ``named`` leaves out rows without a uri.
+    """
+    spark = questions.sparkSession
+    asked = materialise(S.keyword_rows(S._with_missing(questions, {"concept": "string", "scope": "string", "org": "string"})))
+    asked = asked.where("qid IS NOT NULL")
+    matches = materialise(matching_runs(asked.select("needle"), index))
+    found = _postings(spark, index).join(matches.where("run > ''"), ["bucket", "run"]).select("batch", "block", "needle", "places")
+    ids = _ids(spark, index)
+    ids = (ids.where("uri IS NOT NULL") if named else ids).select(
+        "batch", F.shiftright("row", BLOCK_BITS).alias("block"),
+        F.col("row").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("place"), "uri", "rid",
+    )
+    askers = asked.join(matches.select("needle").distinct(), "needle", "left_semi").groupBy("needle").agg(
+        F.collect_list(F.struct("qid", F.col("weight").cast("long").alias("weight"), F.col("keywords").cast("long").alias("keywords"))).alias("askers")
+    )
+    blocks = materialise(ids.select("batch", "block").distinct())
+    lists = found.unionByName(blocks.crossJoin(materialise(askers)), allowMissingColumns=True)
+    schema = pa.schema([
+        ("qid", to_arrow_type(asked.schema["qid"].dataType)), ("uri", pa.string()), ("rid", pa.string()),
+        ("hits", pa.int64()), ("keywords", pa.int64()),
+    ])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _block_hits(left, right, k, schema)
+
+    # by number, as the blocks' sizes do not tell their work and small ones would come together in one task
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lists, ids = (side.repartition(parts, "batch", "block") for side in (lists, ids))
+    hits = lists.groupBy("batch", "block").cogroup(ids.groupBy("batch", "block")).applyInArrow(
+        best, f"qid {asked.schema['qid'].dataType.simpleString()}, uri string, rid string, hits long, keywords long"
+    )
+    return hits.select("qid", "uri", "rid", S.share_of_keywords(F.lit(0.0)).alias("score"))
+
+
 def stored_search(questions: DataFrame, index: KeywordIndex, k: int = 10, fields: bool = True) -> DataFrame:
-    """R1 from the index: best ``k`` concepts per question, ranked from 1, with their fields unless told otherwise."""
-    hits = S.best_hits(stored_scores(questions, index), k)
+    """R1 from the index: best ``k`` concepts per question, ranked from 1, with their fields unless told otherwise.
+
+    Questions without any filter are cut to their best rows block by block; the others need their rows' filter columns.
+    """
+    filters = [c for c in ("concept", "scope", "org") if c in questions.columns]
+    if filters:
+        questions = materialise(questions.select("qid", "query", *filters))
+        some = F.coalesce(*[F.col(c) for c in filters]).isNotNull()
+        by_filter = questions.where(some).select("qid").distinct()
+        scores = plain_scores(questions.join(by_filter, "qid", "left_anti"), index, k, named=True)
+        if not by_filter.isEmpty():
+            scores = scores.unionByName(stored_scores(questions.join(by_filter, "qid", "left_semi"), index))
+    else:
+        scores = plain_scores(questions, index, k)
+    hits = S.best_hits(scores, k)
     if not fields:
         return hits.drop("rid")
     rows = stored_rows(questions.sparkSession, index)

@@ -151,6 +151,11 @@ def keyword_scores(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     return filtered_scores(pairs, questions)
 
 
+def share_of_keywords(bonus: Column) -> Column:
+    """The score of a row: the share of a question's keywords it has, and the bonus."""
+    return F.round(F.least(F.col("hits") / F.col("keywords") + bonus, F.lit(1.0)), 3)
+
+
 def filtered_scores(pairs: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, uri, rid, score) of the (qid, uri, rid, hits, keywords, …) ``pairs`` that pass their question's filters."""
     filters = materialise(questions.select("qid", "concept", "scope", "org"))
@@ -167,9 +172,7 @@ def filtered_scores(pairs: DataFrame, questions: DataFrame) -> DataFrame:
         .filter(org_filter(org))
         .select(
             "qid", "uri", "rid",
-            F.round(F.least(F.col("hits") / F.col("keywords") + bonus, F.lit(1.0)), 3).alias(
-                "score"
-            ),
+            share_of_keywords(bonus).alias("score"),
         )
     )
 
