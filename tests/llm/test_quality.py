@@ -196,3 +196,63 @@ def test_model_is_fitted_on_all_trusted_texts(spark, tmp_path):
         for lang in ("", f"l{i % 11}"):
             want[lang] += len(f"a text {i}")
     assert got == want
+
+
+RU = SCRIPTS["ru"]
+RU_WORDS = RU.replace(",", "").replace(".", "").lower().split()
+
+
+def points(text):
+    """Grams that end in a character without a symbol of its own; other characters are their symbols."""
+    s = [0, 0, *((1, c) if x == q.OTHER else x for x, c in zip(symbols(text), text, strict=True))]
+    return [tuple(s[i : i + 3]) for i in range(len(s) - 2) if isinstance(s[i + 2], tuple)]
+
+
+def brute_members(texts):
+    """log10 probability of those characters among all such, by the recursion; one that was never seen has the share of one."""
+    tables = [Counter(g for t in texts for g in points(t))]
+    for _ in range(2):
+        tables.append(Counter(g[1:] for g in tables[-1]))
+    ds = [discounts(t.values()) for t in tables]
+
+    def p(g, k=0):
+        if k == 3:
+            return 1 / (len(tables[2]) + 1)
+        low, same = p(g[1:], k + 1), {h: c for h, c in tables[k].items() if h[:-1] == g[:-1]}
+        total = sum(same.values())
+        if not total:
+            return low
+        own = max(same.get(g, 0) - ds[k][min(same[g], 3) - 1], 0) if g in same else 0
+        return own / total + sum(ds[k][min(c, 3) - 1] for c in same.values()) / total * low
+
+    return lambda text: sum(math.log10(p(g)) for g in points(text))
+
+
+def test_characters_of_other_scripts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(q, "LEAST_TRUSTED", 2)
+    monkeypatch.setattr(q, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(q, "HELD", 5)
+    trusted = [("ru", RU[i : i + 25] + "ß 😀") for i in range(0, 60, 20)] + [("zh", SCRIPTS["zh"]), ("zh", SCRIPTS["zh"][::-1])]
+    model = q.train(spark.createDataFrame(trusted, "lang string, text string").repartition(3), shared_folder(spark, "t"))
+    texts = [RU, RU[::-1], "Щ漢a" * 300, "😀ßß", "plain", ""]
+    docs = [(i, i, "ru", t) for i, t in enumerate(texts)] + [(9, 9, "xx", SCRIPTS["zh"] + RU)]
+    got = {r.doc_id: r for r in q.perplexity(spark.createDataFrame(docs, "doc_id long, th long, lang string, text string").repartition(2), model).collect()}
+    for i, lang, text in [(d[0], d[2], d[3]) for d in docs]:
+        known = [t for name, t in trusted if name == lang or lang == "xx"]
+        assert got[i].logp == pytest.approx(brute(known)(text) + brute_members(known)(text), rel=1e-5, abs=1e-5)
+        assert got[i].strange == sum(x == q.OTHER and all(c not in t for t in known) for x, c in zip(symbols(text), text, strict=True))
+        assert got[i].grams == len({g for g in grams(text) if g[-1] != q.OTHER}) + len(set(points(text)))
+
+
+def test_texts_in_other_scripts_are_judged(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices(RU_WORDS, k=40))
+    garbled = lambda: " ".join("".join(rng.choices("".join(RU_WORDS), k=6)) for _ in range(35))
+    good = [(i, text(), "ru") for i in range(100)]
+    zh = [(100 + i, SCRIPTS["zh"] * 3, "zh") for i in range(40)]
+    asked = [(200, text(), "ru"), (201, garbled(), "ru"), (202, "Щ" * 200, "ru"), (203, text(), None), (204, garbled(), None), (205, SCRIPTS["ar"] * 3, None), (206, SCRIPTS["zh"][::-1] * 3, "zh")]
+    docs = spark.createDataFrame([*good, *zh, *asked], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(140)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in q.judge(docs, labels).collect()}
+    assert {i: got[i].keep for i, _, _ in asked} == {200: True, 201: False, 202: False, 203: True, 204: False, 205: True, 206: False}
+    assert got[205].threshold is None and got[203].threshold is not None and sum(got[i].keep for i in range(140)) >= 138
