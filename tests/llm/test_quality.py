@@ -198,6 +198,14 @@ def test_model_is_fitted_on_all_trusted_texts(spark, tmp_path):
     assert got == want
 
 
+def test_model_is_never_broadcast_in_copies(spark):
+    """Copies of the model are more than the planner takes them for."""
+    model = q.train(spark.createDataFrame([("en", t) for t in TRUSTED], "lang string, text string"), shared_folder(spark, "t"))
+    docs = spark.createDataFrame([(1, 7, "en", "the cat")], "doc_id long, th long, lang string, text string")
+    plan = q.perplexity(docs, model)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+Join) \[lang#\d+, shard#\d+, salt", plan) == ["SortMergeJoin"]
+
+
 RU = SCRIPTS["ru"]
 RU_WORDS = RU.replace(",", "").replace(".", "").lower().split()
 

@@ -206,15 +206,21 @@ def _subsets(elements: np.ndarray, small: int, large: int, percent: int) -> np.n
     return mix64(total - mixed[chosen].sum(axis=1, dtype=np.uint64))
 
 
+def _shared(lists: DataFrame) -> DataFrame:
+    """The rows of lists with several. The planner takes both sides for a small part of the table that they are cut from,
+    where they lie beside histograms, and would broadcast them."""
+    several = lists.groupBy("key").count().where("count > 1").select("key")
+    return lists.hint("merge").join(several, "key").distinct()
+
+
 def _groups(lists: DataFrame, sizes: DataFrame, percent: int, folder: str) -> DataFrame:
     """(hub, sid) of sets that share a list; the hub is the first set of the list.
 
     Lists with the same hub become one group, so a set belongs to few groups however many lists it is in.
     """
-    several = lists.groupBy("key").count().where("count > 1").select("key")
-    kept = stored(lists.join(several, "key").distinct(), f"{folder}/lists")
+    kept = stored(_shared(lists), f"{folder}/lists")
     first = kept.groupBy("key").agg(F.min("sid").alias("hub"))
-    members = kept.join(first, "key").select("hub", "sid").distinct().join(sizes, "sid")
+    members = kept.join(first.hint("merge"), "key").select("hub", "sid").distinct().join(sizes, "sid")
     members = stored(members, f"{folder}/members")
     extent = members.groupBy("hub").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
     extent = extent.where(f"rows > 2 or rows = 2 and {percent} * high <= 100 * low")
@@ -282,7 +288,7 @@ def _may_link(histograms: list[bytes], side: np.ndarray, percent: int) -> np.nda
 
 def _cells(members: DataFrame) -> DataFrame:
     """Each set of a group in the cells (hub, i, j) in which its block meets its own and the other blocks."""
-    placed = members.withColumn("block", F.pmod(F.hash("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.hint("merge").withColumn("block", F.pmod(F.hash("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return placed.select("hub", "sid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
@@ -345,7 +351,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     histograms = listed.where("role = 3").select("sid", "histogram")
     subsets = listed.where("role > 0").select("key", "sid", "role").distinct()
     hub = subsets.where("role = 1").groupBy("key").agg(F.min("sid").alias("hub"))
-    light = subsets.join(hub, "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+    light = subsets.join(hub.hint("merge"), "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
 
     members = _groups(listed.where("role = 0").select("key", "sid"), own.select("sid", "n"), percent, folder)
     members = stored(members, f"{folder}/grouped")
