@@ -5,8 +5,8 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from thicket import schemas as M
-from thicket.operators.ordering import numbered
-from thicket.plans.build import with_country
+from thicket.operators.ordering import numbered, numbered_by_place
+from thicket.plans.build import definition_concepts, mint_uri, with_country
 from thicket.sources import tables as S
 
 
@@ -42,3 +42,40 @@ def test_definition_files_are_compressed_on_request(spark, tmp_path):
     S.write_definitions_raw(df, str(tmp_path / "p"))
     assert {f.suffix for f in Path(tmp_path / "z").glob("part*")} == {".gz"}
     assert S.read_definitions(spark, str(tmp_path / "z")).collect() == S.read_definitions(spark, str(tmp_path / "p")).collect()
+
+
+def test_places_are_numbered_as_ranges_are(spark):
+    """Hot, null and repeated keys and places; buckets of few places, so that keys span several."""
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 5}", None if i % 31 == 0 else (i * 7919) % 401 - 50, f"t{i % 90}") for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, pos long, t string")
+    want = sorted(map(str, numbered(df, ["k"], ["pos"], "n").collect()))
+    for places in (1, 64, 1 << 18):
+        done = numbered_by_place(df.repartition(5), ["k"], "pos", "n", places)
+        assert done.dtypes == numbered(df, ["k"], ["pos"], "n").dtypes and sorted(map(str, done.collect())) == want
+
+
+def test_bases_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def base(i):
+        made.add(1)
+        return f"Base{i % 10}"
+
+    rows = spark.range(500).select(F.col("id").alias("pos"), F.udf(base, "string")("id").alias("base"))
+    done = mint_uri(rows)
+    assert done.count() == 500 and made.value == 500
+    assert done.where(~F.endswith("uri", F.concat(F.lit("_"), (F.col("pos").cast("long") / 10).cast("long") + 1))).count() == 0
+
+
+def test_carried_columns_have_the_same_uris(spark):
+    one = {"title_1": "a", "title_2": "FOREST/FOREST LAND", "title_3": "General", "title_4": "", "sources": "", "definition": "text", "organization": "FAO", "country": "Peru", "year": "", "urls": [], "references": []}
+    terms = ["open  forest; x", "", "*", "Open forest", " ", None]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(terms * 4)], "pos long, bold_terms string")
+    records = made.select("pos", "bold_terms", *[F.lit(v).alias(k) if isinstance(v, str) else F.array().cast("array<string>").alias(k) for k, v in one.items()])
+    records = records.withColumn("definition", F.when(F.col("pos") == 3, " \n").otherwise(F.col("definition"))).select("pos", *M.DEFINITION_COLS)
+    places = spark.createDataFrame([("PER", "Peru", "PE", "SouthAmerica", 0)], "iso3 string, name string, alpha2 string, continent string, ord int")
+    whole, few = definition_concepts(records, places), definition_concepts(records, places, carry=["pos", "country", "organization"])
+    assert "definition" not in few.columns
+    got = {(r.pos, r.uri, r.country_uri) for r in whole.collect()}
+    assert len(got) == 23 and got == {(r.pos, r.uri, r.country_uri) for r in few.collect()}
+    assert {u.rsplit("#")[-1].rsplit("/")[-1].rsplit("_")[0] for _, u, _ in got} == {"OpenForest", "Forest", "Concept"}
