@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from thicket.operators import languages as L
@@ -34,3 +36,21 @@ def test_scripts_and_languages_without_default(spark):
     assert got[3][0] == "Cyrillic" and got[5][0] == "Han" and all(got[i][1] is None for i in (7, 8, 9, 10))
     none = L.language_profiles(labelled.limit(0))
     assert {r.lang for r in L.tagged(docs, none).collect()} == {None} and L.tagged(docs.limit(0), none).count() == 0
+
+
+def test_runs_are_counted_before_they_are_joined(spark, monkeypatch):
+    """One row for each different run of a text, whatever batches and chunks its texts lie in."""
+    monkeypatch.setattr(L, "CHUNK_BYTES", 40)
+    monkeypatch.setattr(L, "HELD", 10)
+    rows = [(i, lang, text) for i, (lang, text) in enumerate(TEXTS.items())] + [(50, "en", "aaaa 𐐨𐐨𐐨 a"), (51, "en", "x"), (None, "en", "The the")]
+    df = spark.createDataFrame(rows, "id long, lang string, text string").repartition(3)
+    words = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    runs = lambda t: Counter(words(t)[i : i + 3] for i in range(len(words(t)) - 2))
+    number = lambda run: ord(run[0]) << 42 | ord(run[1]) << 21 | ord(run[2])
+    got = L._counted_by_text(df.select("id", "text"), "id").collect()
+    assert sorted(((r.id, r.run, r.n) for r in got), key=str) == sorted(((i, number(run), n) for i, _, t in rows for run, n in runs(t).items()), key=str)
+    want = Counter()
+    for _, lang, text in rows:
+        for run, n in runs(text).items():
+            want[lang, number(run)] += n
+    assert Counter({(r.lang, r.run): r.n for r in L._counted_by_language(df).collect()}) == want
