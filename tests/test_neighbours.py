@@ -93,3 +93,18 @@ def test_a_block_of_questions_is_compared_in_bounded_parts():
     tracemalloc.stop()
     want = np.argsort(-np.round(queries @ S._unit(docs["embedding"]).T, 12), axis=1, kind="stable")[:, :3]
     assert [f"u{i:04d}" for i in want.ravel()] == got["uri"].tolist()
+
+
+def test_probed_cells_come_in_bounded_parts(monkeypatch):
+    """However many cells are read, a task makes few rows at once."""
+    rng = np.random.default_rng(3)
+    centres, batch = rng.normal(size=(300, 8)), pd.DataFrame({"qid": range(40), "embedding": list(rng.normal(size=(40, 8)))}, index=[0] * 40)
+    whole = pd.concat(N._probed(batch, centres, 120))
+    assert len(whole) == 40 * 120
+    monkeypatch.setattr(N, "PAIRS", 2000)
+    for bound, most in ((500, 480), (100, 120)):
+        monkeypatch.setattr(N, "PROBED", bound)
+        parts = list(N._probed(batch, centres, 120))
+        assert max(map(len, parts)) == most and pd.concat(parts)[["qid", "cell"]].equals(whole[["qid", "cell"]])
+    order = np.argsort(N._distances(N._unit(batch["embedding"]), centres), axis=1, kind="stable")[:, :120]
+    assert whole["cell"].tolist() == order.ravel().tolist()

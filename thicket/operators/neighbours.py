@@ -32,7 +32,9 @@ SAMPLE = 65_536
 MOST_CELLS = 16_384
 CELLS_PER_ROOT = 4  # cells for each unit of the square root of the rows
 ASKED = 256  # rows that the number of probes is measured with
-ROWS = 1024  # rows that meet all centres at once
+ROWS = 1024  # rows that meet all centres at once, fewer where that makes more than
+PAIRS = 1 << 20  # distances
+PROBED = 1 << 16  # rows of questions and cells that are made at once
 
 
 @dataclass(frozen=True)
@@ -71,13 +73,17 @@ def _distances(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (centres * centres).sum(axis=1) - 2 * units @ centres.T
 
 
+def _at_once(centres: np.ndarray) -> int:
+    return max(1, min(ROWS, PAIRS // len(centres)))
+
+
 def _assigned(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CELLS rows
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                some = batch.iloc[at : at + ROWS]
+            for at in range(0, len(batch), _at_once(shared.value)):
+                some = batch.iloc[at : at + _at_once(shared.value)]
                 yield some.assign(cell=_distances(_unit(some["embedding"]), shared.value).argmin(axis=1).astype("int32"))
 
     kind = docs.schema["embedding"].dataType.simpleString()
@@ -136,17 +142,24 @@ def needed_probes(rows: DataFrame, centres: np.ndarray, recall: float, k: int) -
     return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1 if len(ranks) else len(centres)
 
 
+def _probed(batch: pd.DataFrame, centres: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
+    """The rows of a batch with each of their nearest cells, about ``PROBED`` at a time however many cells are read."""
+    for at in range(0, len(batch), _at_once(centres)):
+        some = batch.iloc[at : at + _at_once(centres)]
+        order = np.argsort(_distances(_unit(some["embedding"]), centres), axis=1, kind="stable")[:, :probes].astype("int32")
+        step = max(1, PROBED // max(1, order.shape[1]))
+        for i in range(0, len(some), step):
+            part = order[i : i + step]
+            yield some.iloc[np.repeat(np.arange(i, i + len(part)), part.shape[1])].assign(cell=part.ravel())
+
+
 def _probing(questions: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """(qid, embedding, cell) of the cells that each question reads."""
     shared = questions.sparkSession.sparkContext.broadcast(centres)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                some = batch.iloc[at : at + ROWS]
-                far = _distances(_unit(some["embedding"]), shared.value)
-                order = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                yield some.loc[some.index.repeat(order.shape[1])].assign(cell=order.ravel().astype("int32"))
+            yield from _probed(batch, shared.value, probes)
 
     kinds = ", ".join(f"{c} {questions.schema[c].dataType.simpleString()}" for c in ("qid", "embedding"))
     return questions.mapInPandas(cells, f"{kinds}, cell int")
