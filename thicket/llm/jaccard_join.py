@@ -220,7 +220,7 @@ def _groups(lists: DataFrame, sizes: DataFrame, percent: int, folder: str) -> Da
     """
     kept = stored(_shared(lists), f"{folder}/lists")
     first = kept.groupBy("key").agg(F.min("sid").alias("hub"))
-    members = kept.join(first.hint("merge"), "key").select("hub", "sid").distinct().join(sizes, "sid")
+    members = kept.join(first, "key").select("hub", "sid").distinct().join(sizes, "sid")
     members = stored(members, f"{folder}/members")
     extent = members.groupBy("hub").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
     extent = extent.where(f"rows > 2 or rows = 2 and {percent} * high <= 100 * low")
@@ -351,7 +351,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     histograms = listed.where("role = 3").select("sid", "histogram")
     subsets = listed.where("role > 0").select("key", "sid", "role").distinct()
     hub = subsets.where("role = 1").groupBy("key").agg(F.min("sid").alias("hub"))
-    light = subsets.join(hub.hint("merge"), "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+    hub = stored(hub, f"{folder}/hubs")  # its size is known then: where it is small, a hot key stays spread
+    light = subsets.join(hub, "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
 
     members = _groups(listed.where("role = 0").select("key", "sid"), own.select("sid", "n"), percent, folder)
     members = stored(members, f"{folder}/grouped")
